@@ -84,7 +84,7 @@ def processed_events_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def tfidf_vocab(spark: SparkSession, folder: str) -> DataFrame:
     reviews = adapters.text_reviews(spark, folder)
-    kept = content.vocabulary(content.term_counts(reviews), content.product_count(reviews))
+    kept = content.vocabulary(content.term_counts(content.term_rows(reviews)), content.product_count(reviews))
     return kept.withColumn("idf", F.round("idf", 6))
 
 

@@ -21,34 +21,50 @@ def rescale_per_group(value: Column, group: str, low: float, high: float, if_fla
     return F.when(most != least, low + (high - low) * (value - least) / (most - least)).otherwise(F.lit(if_flat))
 
 
+def top_value(table: DataFrame, column: str) -> Column:
+    """The greatest value of `column` as a scalar, from the plan that computes `table`.
+
+    It asks for whole rows (a struct compares by its first field first), so that no column is pruned and
+    Spark reuses the shuffle of `table` where the same query also reads it.
+    """
+    others = [c for c in table.columns if c != column]
+    return table.agg(F.max(F.struct(column, *others))[column]).scalar()
+
+
 def histogram(values: DataFrame, column: str, bins: int, weight: str | None = None) -> DataFrame:
     """Equal-width histogram with a closed last bin: (bin, bin_left, bin_right, n), empty bins included.
 
-    n counts rows, or adds up `weight`.
+    n counts rows, or adds up `weight`. For whole numbers cut to a range: rows are first counted per
+    value, and only that short table is put into bins.
     """
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    bounds = values.agg(
-        F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")
-    ).select(
-        F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5).alias("lo"),
-        F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"),
-    )
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    position = F.floor((F.col(column) - lo) * bins / (hi - lo))
-    counts = (
+    per_value = (
         values.filter(F.col(column).isNotNull())
-        .groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
+        .groupBy(F.col(column).cast("double").alias("x"))
         .agg(amount.alias("n"))
     )
-    width = (hi - lo) / bins
-    return (
-        values.sparkSession.range(bins)
-        .select(F.col("id").cast("int").alias("bin"))
-        .join(counts, "bin", "left")
-        .select(
-            "bin",
-            (lo + F.col("bin") * width).alias("bin_left"),
-            (lo + (F.col("bin") + 1) * width).alias("bin_right"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-        )
+    spread = F.max("x") > F.min("x")
+    whole = per_value.agg(
+        F.coalesce(F.when(spread, F.min("x")).otherwise(F.min("x") - 0.5), F.lit(0.0)).alias("lo"),
+        F.coalesce(F.when(spread, F.max("x")).otherwise(F.max("x") + 0.5), F.lit(1.0)).alias("hi"),
+        F.collect_list(F.struct("x", "n")).alias("items"),
+    )
+    lo, width = F.col("lo"), (F.col("hi") - F.col("lo")) / bins
+
+    def bin_of(x: Column) -> Column:
+        return F.least(F.floor((x - lo) * bins / (F.col("hi") - lo)), F.lit(bins - 1))
+
+    def in_bin(number: Column) -> Column:
+        inside = F.filter("items", lambda item: bin_of(item.x) == number)
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda total, item: total + item.n)
+
+    rows = F.transform(
+        F.sequence(F.lit(0), F.lit(bins - 1)),
+        lambda number: F.struct(
+            number.alias("bin"),
+            (lo + number * width).alias("bin_left"),
+            (lo + (number + 1) * width).alias("bin_right"),
+            in_bin(number).alias("n"),
+        ),
     )
+    return whole.select(F.inline(rows))

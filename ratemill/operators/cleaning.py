@@ -63,7 +63,9 @@ def clean(raw: DataFrame, min_user_reviews: int = 3, min_product_reviews: int =
     The activity rules depend on the distinct pairs only, so they run on that narrow table. The wide
     rows are shuffled once, by pair, for both the first-row rule and the removal of pairs.
     """
-    kept = with_summary(raw)
+    # Ingestion leaves no null ids. Saying so here gives every branch the same filters, so that Spark
+    # sees their shuffles as one and reuses it.
+    kept = with_summary(raw).filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     pairs = kept.select(*PAIR).distinct()
     by_user = _too_few(pairs, "user_id", min_user_reviews)
     by_product = _too_few(pairs.join(by_user, PAIR, "left_anti"), "product_id", min_product_reviews)

@@ -97,11 +97,8 @@ def activity_stats(reviews: DataFrame) -> DataFrame:
     products = value_counts(reviews, "product_id").agg(
         F.avg("review_count").alias("avg_per_product"), F.max("review_count").alias("max_per_product")
     )
-    return users.select(
-        "*",
-        products.select("avg_per_product").scalar().alias("avg_per_product"),
-        products.select("max_per_product").scalar().alias("max_per_product"),
-    )
+    per_product = products.select(F.struct("avg_per_product", "max_per_product")).scalar()
+    return users.select("*", *[per_product[c].alias(c) for c in products.columns])
 
 
 def activity_histogram(reviews: DataFrame, key: str, at_most: int, bins: int) -> DataFrame:
