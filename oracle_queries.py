@@ -298,7 +298,7 @@ FROM clicks GROUP BY product_id ORDER BY interaction_count DESC, product_id LIMI
     "user_event_features": CLICKS + """ SELECT user_id, count(*) AS total_events,
   count(DISTINCT product_id) AS unique_products, count(*) FILTER (event_type = 'purchase') AS purchases,
   count(*) FILTER (event_type = 'view') AS views, max(created_at) AS last_active FROM clicks GROUP BY user_id""",
-    "product_profiles": TEXT + """ SELECT product_id, CAST(0 AS INT) AS part,
+    "product_profiles": TEXT + """ SELECT product_id, CAST(0 AS BIGINT) AS part,
   string_agg(text, ' ' ORDER BY ord) AS combined_text, count(rating) AS review_count, avg(rating) AS avg_rating
 FROM reviews GROUP BY product_id""",
     "tfidf_vocab": TERMS + f" SELECT term, df, total, {rounded('idf', 6)} AS idf FROM vocab",
