@@ -135,7 +135,7 @@ def cf_baseline_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cf_topn(spark: SparkSession, folder: str) -> DataFrame:
-    model = factors.fit_factors(_train(spark, folder), rank=16, max_iter=5)
+    model = factors.fit_factors(_train(spark, folder))
     return hybrid.top_by_rating(adapters.text_reviews(spark, folder), model)
 
 

@@ -86,19 +86,22 @@ def review_length_stats(reviews: DataFrame) -> DataFrame:
 def activity_stats(reviews: DataFrame) -> DataFrame:
     """One row: reviews per user (mean over users and mean over review rows) and per product.
 
-    The mean over review rows of each user's count is sum(n*n)/sum(n), so no join back is needed.
+    Users and products are counted in one pass, as two keys per row. The mean over review rows of each
+    user's count is sum(n*n)/sum(n), so no join back is needed.
     """
-    n = F.col("review_count").cast("double")
-    users = value_counts(reviews, "user_id").agg(
-        F.avg("review_count").alias("avg_per_user"),
-        (F.sum(n * n) / F.sum(n)).alias("avg_per_user_over_reviews"),
-        F.max("review_count").alias("max_per_user"),
+    keys = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in ("user_id", "product_id")])
+    counts = (
+        reviews.select(F.explode(keys).alias("key")).groupBy("key.side", "key.id").agg(F.count(F.lit(1)).alias("n"))
     )
-    products = value_counts(reviews, "product_id").agg(
-        F.avg("review_count").alias("avg_per_product"), F.max("review_count").alias("max_per_product")
+    user, product = (F.when(F.col("side") == side, F.col("n")) for side in ("user_id", "product_id"))
+    as_double = user.cast("double")
+    return counts.agg(
+        F.avg(user).alias("avg_per_user"),
+        (F.sum(as_double * as_double) / F.sum(as_double)).alias("avg_per_user_over_reviews"),
+        F.max(user).alias("max_per_user"),
+        F.avg(product).alias("avg_per_product"),
+        F.max(product).alias("max_per_product"),
     )
-    per_product = products.select(F.struct("avg_per_product", "max_per_product")).scalar()
-    return users.select("*", *[per_product[c].alias(c) for c in products.columns])
 
 
 def activity_histogram(reviews: DataFrame, key: str, at_most: int, bins: int) -> DataFrame:

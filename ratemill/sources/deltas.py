@@ -7,16 +7,23 @@ old ones together.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.operators.events import EVENT_KEY
+from ratemill.operators.events import EVENT_KEY, aggregate_events, trailing
 
 
 def write_delta(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
+def merge_day(events: DataFrame, as_of: datetime, path: str) -> None:
+    """The daily job: counts of the 24 hours up to as_of, as the delta of that day. A second run of a day replaces it."""
+    write_delta(aggregate_events(trailing(events, as_of)), path, int(as_of.strftime("%Y%m%d")))
+
+
 def read_deltas(spark: SparkSession, path: str) -> DataFrame:
     """All deltas with their batch_id."""
     return spark.read.option("basePath", path).parquet(path)

@@ -113,6 +113,16 @@ def test_deltas_repeat_and_compact(spark, tmp_path):
     assert rows(deltas.processed_events(compacted)) == sorted(want, key=repr)
 
 
+def test_daily_merge_can_run_twice(spark, tmp_path):
+    times = [datetime(2024, 1, 1, 20), datetime(2024, 1, 2, 8), datetime(2024, 1, 2, 20)]
+    shape = "user_id string, product_id string, event_type string, created_at timestamp"
+    clicked = spark.createDataFrame([("u", "p", "view", t) for t in times], shape)
+    path = str(tmp_path / "days")
+    for day in (2, 3, 3):
+        deltas.merge_day(clicked, datetime(2024, 1, day, 12), path)
+    assert rows(deltas.processed_events(deltas.read_deltas(spark, path))) == [("u", "p", "view", 3, times[2])]
+
+
 def test_publish_to_files(spark, tmp_path):
     decoded = events.decode_events(spark.createDataFrame([(message("u", "p", "view"),)], "value string"))
     clicks.publish(decoded, "json").save(str(tmp_path / "out"))
