@@ -18,7 +18,10 @@ def connection():
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, connection, name):
-    got = queries()[name](spark, FOLDER).toPandas()
+    frame = queries()[name](spark, FOLDER)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = frame.toPandas()
     assert len(got) > 0
     assert difference(got, connection.execute(oracle_sql()[name]).df()) is None
 
