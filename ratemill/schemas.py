@@ -26,8 +26,9 @@ CLEAN_REVIEWS = _struct(
 
 CLICK_EVENT = _struct(user_id=_S, product_id=_S, event_type=_S, timestamp=_D, session_id=_S)
 
+# The id is a surrogate (a uuid) given at ingestion.
 CLICKSTREAM = _struct(
-    id=_L, user_id=_S, product_id=_S, event_type=_S, session_id=_S, timestamp=_D, created_at=_TS
+    id=_S, user_id=_S, product_id=_S, event_type=_S, session_id=_S, timestamp=_D, created_at=_TS
 )
 
 PROCESSED_EVENTS = _struct(user_id=_S, product_id=_S, event_type=_S, event_count=_L, last_seen=_TS)

@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ratemill.operators.events import EVENT_KEY, aggregate_events, trailing
 
@@ -24,9 +25,10 @@ def merge_day(events: DataFrame, as_of: datetime, path: str) -> None:
     write_delta(aggregate_events(trailing(events, as_of)), path, int(as_of.strftime("%Y%m%d")))
 
 
-def read_deltas(spark: SparkSession, path: str) -> DataFrame:
-    """All deltas with their batch_id."""
-    return spark.read.option("basePath", path).parquet(path)
+def read_deltas(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All deltas with their batch_id. With a schema no file is opened to infer one."""
+    reader = spark.read.option("basePath", path)
+    return (reader.schema(schema) if schema else reader).parquet(path)
 
 
 def processed_events(deltas: DataFrame) -> DataFrame:

@@ -76,6 +76,11 @@ def start_ingest(messages: DataFrame, path: str, checkpoint: str, once: bool = F
     ]
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The ingested events as a batch table; a filter on created_day prunes folders."""
+    return spark.read.schema(schemas.CLICKSTREAM).parquet(f"{path}/events")
+
+
 def running_total(stream: DataFrame) -> DataFrame:
     """The number of good events so far, for the complete or update output mode."""
     return stream.filter("ok").groupBy().agg(F.count(F.lit(1)).alias("saved_events"))

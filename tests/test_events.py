@@ -4,6 +4,7 @@ from datetime import datetime
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ratemill import schemas
 from ratemill.operators import events
 from ratemill.sources import deltas
 from ratemill.streaming import clicks
@@ -61,7 +62,7 @@ def test_ingest_restarts_without_loss_or_repeats(spark, tmp_path):
     write_lines(source, "2.txt", [message("v", "p", "view"), '{"user_id": "x"}'])
     for _ in range(2):
         run(clicks.start_ingest(clicks.read_files(spark, str(source)), out, checkpoint, once=True))
-    saved = spark.read.parquet(f"{out}/events")
+    saved = clicks.read_events(spark, out)
     assert rows(saved.select("user_id", "product_id", "event_type")) == [
         ("u", "p", "view"), ("u", "q", "purchase"), ("v", "p", "view"),
     ]
@@ -90,7 +91,7 @@ def test_continuous_tables_equal_the_batch_jobs(spark, tmp_path):
     run([clicks.start_processed_upsert(stream, processed, str(tmp_path / "cp1"), once=True)])
     run([clicks.start_user_features(stream, features, str(tmp_path / "cp2"), once=True)])
     whole = events.decode_events(spark.read.text(str(source))).filter("ok").withColumn("created_at", F.current_timestamp())
-    current = deltas.processed_events(deltas.read_deltas(spark, processed))
+    current = deltas.processed_events(deltas.read_deltas(spark, processed, schemas.PROCESSED_EVENTS))
     assert deltas.read_deltas(spark, processed).select("batch_id").distinct().count() == 3
     assert rows(current.drop("last_seen")) == rows(events.aggregate_events(whole).drop("last_seen"))
     got = deltas.user_event_features(deltas.read_deltas(spark, features)).drop("last_active")
