@@ -5,19 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratemill.llm import near_dup
+from ratemill.llm import embed_dup, near_dup, substring_dup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dup.near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dup.remove_repeats(_table(spark, folder, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dup": op1_embedding_near_dup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_minhash_near_dup": op8_minhash_near_dup,
 }
 
