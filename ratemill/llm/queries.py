@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import embed_dup, near_dup, substring_dup
+from ratemill.llm import embed_dup, near_dup, packing, substring_dup, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,14 +23,25 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokens.token_counts(_table(spark, folder, "documents"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), room=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
     "op8_minhash_near_dup": op8_minhash_near_dup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
