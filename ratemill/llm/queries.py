@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import embed_dup, near_dup, packing, substring_dup, tokens
+from ratemill.llm import decontam, embed_dup, near_dup, packing, secrets, substring_dup, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,10 +28,18 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.summary(secrets.find_secrets(_table(spark, folder, "documents")))
+
+
 def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.benchmark_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), room=1024)
 
@@ -40,7 +48,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_secret_scan": op6_secret_scan,
     "op8_minhash_near_dup": op8_minhash_near_dup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -59,7 +59,11 @@ def grams(values: np.ndarray, n: int) -> np.ndarray:
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each word; text i is `data[offsets[i]:offsets[i + 1]]`."""
-    keep = ~_BLANK[data]
+    return runs(~_BLANK[data], offsets)
+
+
+def runs(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each run of `keep` that stays within a text."""
     filled = offsets[:-1] < offsets[1:]
     first, last = keep.copy(), keep.copy()
     first[1:] &= ~keep[:-1]
@@ -70,12 +74,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """Hash of each `data[start:end]`, each value of `data` standing for its entry in `table`."""
     out, at = np.empty(len(start), np.uint64), 0
     while at < len(start):  # blocks of bounded bytes, but for single longer words
         to = max(at + 1, int(np.searchsorted(end, start[at] + _BLOCK, "right")))
         low, high = start[at], end[to - 1]
-        out[at:to] = ranges(_BYTE[data[low:high]], start[at:to] - low, end[at:to] - low)
+        out[at:to] = ranges(table[data[low:high]], start[at:to] - low, end[at:to] - low)
         at = to
     return out
 
