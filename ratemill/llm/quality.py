@@ -28,7 +28,7 @@ def _costs(docs: DataFrame, model: charlm.Model) -> DataFrame:
     return charlm.scored(docs, model, "visible", result, _COLUMNS, ["doc_id", "lang", "bits", "symbols"])
 
 
-def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.995, prior: float = 64.0) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: float = 64.0) -> DataFrame:
     """doc_id, lang, perplexity, threshold, rejected of `docs` (doc_id, text, lang).
 
     `trusted` (doc_id) names the texts to learn from: one model for each language, on whole texts. The perplexity of a

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import decontam, embed_dup, near_dup, packing, secrets, substring_dup, tokens
+from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, quality, secrets, substring_dup, tokens, wrapper
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op1_embedding_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return embed_dup.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = wrapper.main_text(_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
+    found = langid.predict(docs, langid.learn(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dup.remove_repeats(_table(spark, folder, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,6 +44,15 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.summary(secrets.find_secrets(_table(spark, folder, "documents")))
 
 
+def trusted(labels: DataFrame) -> DataFrame:
+    """The documents labelled good and not toxic."""
+    return labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), trusted(_table(spark, folder, "labels")))
+
+
 def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -46,9 +67,12 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
