@@ -220,8 +220,10 @@ def scored(docs: DataFrame, model: Model, kind: str, result: Callable[[pa.Record
                     distinct, inverse = np.unique(spelled.grams, return_inverse=True)
                     costs = -np.log2(model.probabilities(distinct))
                     bits = np.add.reduceat(costs[inverse], spelled.first, axis=0)
-                total = np.stack([np.bincount(spelled.text, bits[spelled.word, k], len(part)) for k in range(len(model.labels))], axis=1) if model.labels else np.zeros((len(part), 0))
-                symbols = np.bincount(spelled.text, lengths[spelled.word], len(part))
+                total = np.zeros((len(part), len(model.labels)))
+                for k in range(len(model.labels)):
+                    total[:, k] = np.bincount(spelled.text, bits[spelled.word, k], len(part))
+                symbols = np.bincount(spelled.text, lengths[spelled.word], len(part)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(result(part, total, symbols), names)
 
     return docs.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ def _costs(docs: DataFrame, model: charlm.Model) -> DataFrame:
             bits = np.where(own < 0, total.min(axis=1), total[np.arange(len(part)), own])
         else:
             bits = np.zeros(len(part))
-        return [part.column("doc_id"), part.column("lang"), pa.array(bits), pa.array(symbols.astype(np.int64))]
+        return [part.column("doc_id"), part.column("lang"), pa.array(bits), pa.array(symbols)]
 
     return charlm.scored(docs, model, "visible", result, _COLUMNS, ["doc_id", "lang", "bits", "symbols"])
 
