@@ -13,17 +13,24 @@ def rounded(value: str, places: int) -> str:
     return f"CAST(round(CAST({value} AS DECIMAL(38, 15)), {places}) AS DOUBLE)"
 
 
-def _raw(condition: str) -> str:
-    return f"""
+RAW = """WITH
 raw AS (
-  SELECT 'U' || o_custkey AS user_id, 'P' || l_partkey AS product_id,
+  SELECT 'U' || o_custkey AS user_id,
+         'P' || CASE WHEN l_suppkey % 10 = 0 THEN l_partkey % 40 ELSE l_partkey END AS product_id,
          CAST(1 + CAST(l_quantity AS INT) % 5 AS INT) AS rating,
          CASE WHEN l_linenumber = 7 THEN NULL ELSE p_type END AS summary,
-         p_name || ' ' || p_brand || ' ' || p_type AS text,
+         repeat(p_name || ' ' || p_brand || ' ' || p_type,
+                CASE WHEN l_linenumber = 3 AND l_suppkey % 10 = 1 THEN 60 ELSE 1 END) AS text,
          o_orderdate AS o1, l_orderkey AS o2, l_linenumber AS o3, l_quantity AS o4,
          l_extendedprice AS o5, l_suppkey AS o6
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'R'{condition}
+)"""
+DUMP = RAW + """,
+dump AS (
+  SELECT CASE WHEN o3 <> 6 OR o2 % 5 <> 0 THEN user_id END AS user_id,
+         CASE WHEN o3 <> 5 OR o2 % 7 <> 0 THEN product_id END AS product_id,
+         CASE WHEN o3 <> 4 OR o2 % 11 <> 0 THEN CAST(rating AS VARCHAR) END AS rating, summary, text
+  FROM raw
 )"""
 
 
@@ -33,23 +40,31 @@ firsts AS (
     SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY o1, o2, o3, o4, o5, o6) AS rn
     FROM raw WHERE summary IS NOT NULL) WHERE rn = 1
 )"""
-ACTIVE = """,
+
+
+def _active(least: int) -> str:
+    return f""",
 by_user AS (
   SELECT * FROM firsts
-  WHERE user_id IN (SELECT user_id FROM firsts GROUP BY user_id HAVING count(*) >= 3)
+  WHERE user_id IN (SELECT user_id FROM firsts GROUP BY user_id HAVING count(*) >= {least})
 )"""
-CLEAN = """,
+
+
+def _clean(least: int) -> str:
+    return f""",
 clean AS (
   SELECT * FROM by_user
-  WHERE product_id IN (SELECT product_id FROM by_user GROUP BY product_id HAVING count(*) >= 3)
+  WHERE product_id IN (SELECT product_id FROM by_user GROUP BY product_id HAVING count(*) >= {least})
 )"""
-RAW_DENSE, RAW_SPARSE = "WITH" + _raw(""), "WITH" + _raw(" AND l_quantity <= 10")
-DENSE, SPARSE = RAW_DENSE + FIRST + ACTIVE + CLEAN, RAW_SPARSE + FIRST + ACTIVE + CLEAN
+
+
+DENSE = RAW + FIRST + _active(3) + _clean(3)
+ACTIVE = RAW + FIRST + _active(38) + _clean(15)
 REVIEW = "user_id, product_id, rating, summary, text"
 
 TEXT = """WITH
 reviews AS (
-  SELECT 'U' || (doc_id % 97) AS user_id, 'P' || (doc_id // 5) AS product_id,
+  SELECT 'U' || (doc_id // 100 * 10 + doc_id % 10) AS user_id, 'P' || (doc_id // 5) AS product_id,
          CAST(1 + n_chars % 5 AS INT) AS rating, source AS summary, text, doc_id AS ord
   FROM documents
 )"""
@@ -150,23 +165,35 @@ cb AS (
               ELSE 3.0 END AS cb_score
   FROM fresh WINDOW u AS (PARTITION BY user_id)
 )"""
-BIASES = """,
-train AS (SELECT * FROM reviews WHERE ord % 10 < 8),
+
+
+def _biases(train: str, user_shrinkage: float = 10.0, product_shrinkage: float = 10.0) -> str:
+    return f""",
+train AS (SELECT * FROM reviews WHERE {train}),
 mu AS (SELECT avg(rating) AS mu FROM train),
 bi AS (
-  SELECT product_id, sum(rating - mu) / (10.0e0 + count(*)) AS b_i FROM train, mu GROUP BY product_id
+  SELECT product_id, sum(rating - mu) / ({product_shrinkage}e0 + count(*)) AS b_i FROM train, mu GROUP BY product_id
 ),
 bu AS (
-  SELECT user_id, sum(rating - mu - b_i) / (10.0e0 + count(*)) AS b_u
+  SELECT user_id, sum(rating - mu - b_i) / ({user_shrinkage}e0 + count(*)) AS b_u
   FROM train JOIN bi USING (product_id), mu GROUP BY user_id
 )"""
-PREDICTED = TEXT + BIASES + """,
+
+
+def _predicted(train: str, *shrinkage: float) -> str:
+    return TEXT + _biases(train, *shrinkage) + f""",
 predicted AS (
   SELECT t.user_id, t.product_id, rating,
          greatest(1.0e0, least(5.0e0, mu + coalesce(b_i, 0) + coalesce(b_u, 0))) AS prediction
-  FROM (SELECT * FROM reviews WHERE NOT ord % 10 < 8) t CROSS JOIN mu
+  FROM (SELECT * FROM reviews WHERE NOT ({train})) t CROSS JOIN mu
   LEFT JOIN bi ON t.product_id = bi.product_id LEFT JOIN bu ON t.user_id = bu.user_id
 )"""
+
+
+TRAIN = "ord // 10 % 5 < 4"
+METRICS = f"""{rounded('sqrt(avg((prediction - rating) * (prediction - rating)))', 6)} AS rmse,
+  {rounded('avg(abs(prediction - rating))', 6)} AS mae, count(*) AS n FROM predicted"""
+BIASES, PREDICTED = _biases(TRAIN), _predicted(TRAIN)
 HYBRID = CONTENT + BIASES + """,
 candidate AS (
   SELECT * FROM (SELECT * FROM (SELECT DISTINCT user_id FROM reviews), (SELECT DISTINCT product_id FROM reviews)) c
@@ -214,28 +241,29 @@ def _top(column: str, n: int) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "reviews_ingest": RAW_DENSE + f" SELECT DISTINCT {REVIEW} FROM raw WHERE user_id IS NOT NULL AND product_id IS NOT NULL",
-    "reviews_dedup_first": RAW_DENSE + FIRST + f" SELECT {REVIEW} FROM firsts",
-    "active_users_filter": RAW_SPARSE + FIRST + ACTIVE + f" SELECT {REVIEW} FROM by_user",
-    "reviews_clean": SPARSE + f" SELECT {REVIEW} FROM clean",
+    "reviews_ingest": DUMP + """ SELECT DISTINCT user_id, product_id, CAST(rating AS INT) AS rating, summary, text FROM dump
+  WHERE user_id IS NOT NULL AND product_id IS NOT NULL AND rating IS NOT NULL""",
+    "reviews_dedup_first": RAW + FIRST + f" SELECT {REVIEW} FROM firsts",
+    "active_users_filter": ACTIVE + f" SELECT {REVIEW} FROM by_user",
+    "reviews_clean": ACTIVE + f" SELECT {REVIEW} FROM clean",
     "reviews_enriched": DENSE + f""" SELECT {REVIEW}, CAST(length(text) AS INT) AS review_length,
   CAST(rating >= 4 AS INT) AS is_positive, avg(rating) OVER (PARTITION BY product_id) AS product_avg_rating,
   CAST(count(*) OVER (PARTITION BY user_id) AS INT) AS user_review_count,
   avg(rating) OVER (PARTITION BY user_id) AS user_avg_rating FROM clean""",
-    "null_profile": RAW_DENSE + " UNION ALL ".join(
+    "null_profile": DUMP + " UNION ALL ".join(
         f" SELECT '{name}' AS column_name, '{kind}' AS data_type, count(*) FILTER ({name} IS NULL) AS null_count,"
-        " count(*) AS row_count FROM raw"
+        " count(*) AS row_count FROM dump"
         for name, kind in (
-            ("user_id", "string"), ("product_id", "string"), ("rating", "int"), ("summary", "string"), ("text", "string")
+            ("user_id", "string"), ("product_id", "string"), ("rating", "string"), ("summary", "string"), ("text", "string")
         )
     ),
     "dataset_stats": DENSE + f""" SELECT count(DISTINCT user_id) AS total_users, count(DISTINCT product_id) AS total_products,
   count(*) AS total_reviews, {rounded("avg(rating)", 2)} AS avg_rating FROM clean""",
-    "sparsity": SPARSE + """ SELECT count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products,
+    "sparsity": ACTIVE + """ SELECT count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products,
   count(*) AS reviews,
   1 - count(*) / (CAST(count(DISTINCT user_id) AS DOUBLE) * count(DISTINCT product_id)) AS sparsity FROM clean""",
     "rating_counts": DENSE + " SELECT rating, count(*) AS review_count FROM clean GROUP BY rating ORDER BY rating",
-    "review_length_stats": RAW_DENSE + """ SELECT avg(length(text)) AS avg_length, CAST(min(length(text)) AS INT) AS min_length,
+    "review_length_stats": RAW + """ SELECT avg(length(text)) AS avg_length, CAST(min(length(text)) AS INT) AS min_length,
   CAST(max(length(text)) AS INT) AS max_length FROM raw""",
     "activity_stats": DENSE + """,
 u AS (SELECT count(*) AS n FROM clean GROUP BY user_id), p AS (SELECT count(*) AS n FROM clean GROUP BY product_id)
@@ -251,7 +279,7 @@ FROM u""",
         "SELECT count(*) AS x, 1 AS w FROM clean GROUP BY user_id HAVING count(*) <= 20", 20),
     "hist_product_activity": DENSE + _histogram(
         "SELECT count(*) AS x, 1 AS w FROM clean GROUP BY product_id HAVING count(*) <= 50", 30),
-    "hist_review_length": RAW_DENSE + _histogram(
+    "hist_review_length": RAW + _histogram(
         "SELECT length(text) AS x, 1 AS w FROM raw WHERE length(text) <= 2000", 50),
     "hist_user_clipped": DENSE + _histogram(
         "SELECT least(50, count(*)) AS x, count(*) AS w FROM clean GROUP BY user_id", 50),
@@ -274,6 +302,7 @@ FROM clean GROUP BY product_id""",
         f"count(*) FILTER (rating = {r}) AS rating_{r}" for r in range(1, 6)
     ) + " FROM clean GROUP BY product_id",
     "popular_products": DENSE + "," + _popular("clean", 10) + " SELECT * FROM popular",
+    "reviews_of_user": DENSE + f" SELECT {REVIEW} FROM clean WHERE user_id = 'U7'",
     "user_history": DENSE + """ SELECT user_id, CAST(row_number() OVER (
     PARTITION BY user_id ORDER BY rating DESC, o1, o2, o3, o4, o5, o6, product_id) AS INT) AS rank,
   product_id, rating, summary FROM clean QUALIFY rank <= 20""",
@@ -309,10 +338,25 @@ FROM near""",
 stats AS (SELECT product_id AS similar_id, count(*) AS review_count, avg(rating) AS a FROM reviews GROUP BY 1)
 SELECT product_id, similar_rank AS rank, similar_id, {rounded('similarity', 4)} AS similarity_score,
   {rounded('a', 2)} AS avg_rating, review_count FROM near JOIN stats USING (similar_id) WHERE similar_rank <= 10""",
-    "split_counts": TEXT + " SELECT ord % 10 < 8 AS is_train, count(*) AS n FROM reviews GROUP BY 1",
+    "split_counts": TEXT + " SELECT ord // 10 % 5 < 4 AS is_train, count(*) AS n FROM reviews GROUP BY 1",
     "cf_baseline": PREDICTED + f" SELECT user_id, product_id, rating, {rounded('prediction', 6)} AS prediction FROM predicted",
-    "cf_baseline_metrics": PREDICTED + f""" SELECT {rounded('sqrt(avg((prediction - rating) * (prediction - rating)))', 6)} AS rmse,
-  {rounded('avg(abs(prediction - rating))', 6)} AS mae, count(*) AS n FROM predicted""",
+    "cf_baseline_metrics": PREDICTED + " SELECT " + METRICS,
+    "cv_metrics_baseline": " UNION ALL ".join(
+        f"SELECT * FROM ({_predicted(f'CAST(ord // 10 % 3 AS INT) <> {fold}')} SELECT {fold} AS fold, {METRICS})" for fold in range(3)
+    ),
+    "runs_baseline": " UNION ALL ".join(
+        f"SELECT * FROM ({_predicted(TRAIN, u, p)} SELECT {u}e0 AS user_shrinkage, {p}e0 AS product_shrinkage, {METRICS})"
+        for u in (2.0, 10.0) for p in (2.0, 10.0, 50.0)
+    ),
+    "cf_topn_baseline": TEXT + BIASES + """,
+scored AS (
+  SELECT c.user_id, c.product_id, greatest(1.0e0, least(5.0e0, mu + coalesce(b_i, 0) + coalesce(b_u, 0))) AS cf
+  FROM (SELECT * FROM (SELECT DISTINCT user_id FROM reviews), (SELECT DISTINCT product_id FROM reviews)) c
+  CROSS JOIN mu LEFT JOIN bi ON c.product_id = bi.product_id LEFT JOIN bu ON c.user_id = bu.user_id
+  ANTI JOIN reviews r ON c.user_id = r.user_id AND c.product_id = r.product_id
+)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(cf, 9) DESC, product_id) AS INT) AS rank,
+  product_id, """ + rounded("cf", 4) + """ AS prediction FROM scored QUALIFY rank <= 10""",
     "candidates": TEXT + """ SELECT user_id, count(DISTINCT product_id) AS reviewed_products,
   (SELECT count(DISTINCT product_id) FROM reviews) - count(DISTINCT product_id) AS candidate_products
 FROM reviews GROUP BY user_id""",

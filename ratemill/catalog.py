@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.operators import cleaning, content, events, factors, features, history, hybrid, popularity, profile
+from ratemill.operators import cleaning, content, events, experiments, factors, features, history, hybrid, popularity, profile
 from ratemill.sources import adapters
 from ratemill.sources.adapters import AS_OF
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY_BEFORE = "2024-01-30 00:00:00"
 FIXTURE_SUPPORT = 5  # text reviews have five rows per product
+ACTIVE = {"min_user_reviews": 38, "min_product_reviews": 15}  # near the averages of the given tables, so that both bite
 
 
 def _dense_raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,12 +29,8 @@ def _dense_clean(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.clean(_dense_raw(spark, folder))
 
 
-def _sparse_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.clean(adapters.raw_reviews(spark, folder, sparse=True))
-
-
-def _sparse_first(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.keep_first(cleaning.with_summary(adapters.raw_reviews(spark, folder, sparse=True)))
+def _active_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaning.clean(_dense_raw(spark, folder), **ACTIVE)
 
 
 def _on(source: Query, operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
@@ -47,7 +44,7 @@ def _review_rows(reviews: DataFrame) -> DataFrame:
 
 def reviews_ingest(spark: SparkSession, folder: str) -> DataFrame:
     names = {name: name for name in cleaning.REVIEW_COLUMNS}
-    return cleaning.ingest(_dense_raw(spark, folder), names)
+    return cleaning.ingest(adapters.raw_dump(spark, folder), names)
 
 
 def reviews_enriched(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +112,7 @@ def cb_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, folder: str) -> DataFrame:
-    return factors.with_split(adapters.text_reviews(spark, folder), F.col("ord") % 10 < 8)
+    return factors.with_split(adapters.text_reviews(spark, folder), F.expr("ord div 10 % 5 < 4"))
 
 
 def _train(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,6 +136,29 @@ def cf_topn(spark: SparkSession, folder: str) -> DataFrame:
     return hybrid.top_by_rating(adapters.text_reviews(spark, folder), model)
 
 
+def cf_topn_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """The rating-only list from biases alone."""
+    return hybrid.top_by_rating(adapters.text_reviews(spark, folder), factors.fit_biases(_train(spark, folder)))
+
+
+def cv_metrics_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """Three-fold cross-validation of the biases, by a given fold column."""
+    placed = adapters.text_reviews(spark, folder).withColumn("fold", F.expr("cast(ord div 10 % 3 as int)"))
+    rows = factors.cross_validate(placed, 3, fit=factors.fit_biases, fold="fold")
+    return rows.withColumns({name: F.round(name, 6) for name in ("rmse", "mae")})
+
+
+def runs_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out errors of the biases over a grid of shrinkages."""
+    grid = [{"user_shrinkage": u, "product_shrinkage": p} for u in (2.0, 10.0) for p in (2.0, 10.0, 50.0)]
+    rows = experiments.bias_runs(_split(spark, folder), grid)
+    return rows.withColumns({name: F.round(name, 6) for name in ("rmse", "mae")})
+
+
+def reviews_of_user(spark: SparkSession, folder: str) -> DataFrame:
+    return _review_rows(history.reviews_of(_dense_clean(spark, folder), "U7"))
+
+
 def hybrid_topn_baseline(spark: SparkSession, folder: str) -> DataFrame:
     reviews = adapters.text_reviews(spark, folder)
     return hybrid.recommend(reviews, factors.fit_biases(_train(spark, folder)), _content_scores(reviews))
@@ -159,13 +179,15 @@ QUERIES: dict[str, Query] = {
     # cleaning
     "reviews_ingest": reviews_ingest,
     "reviews_dedup_first": _on(_dense_first, _review_rows),
-    "active_users_filter": _on(_sparse_first, lambda rows: _review_rows(cleaning.keep_active(rows, "user_id"))),
-    "reviews_clean": _on(_sparse_clean, _review_rows),
+    "active_users_filter": _on(
+        _dense_first, lambda rows: _review_rows(cleaning.keep_active(rows, "user_id", ACTIVE["min_user_reviews"]))
+    ),
+    "reviews_clean": _on(_active_clean, _review_rows),
     "reviews_enriched": reviews_enriched,
     # profile
-    "null_profile": _on(_dense_raw, lambda rows: profile.null_profile(_review_rows(rows))),
+    "null_profile": _on(adapters.raw_dump, profile.null_profile),
     "dataset_stats": _on(_dense_clean, profile.dataset_stats),
-    "sparsity": _on(_sparse_clean, profile.sparsity),
+    "sparsity": _on(_active_clean, profile.sparsity),
     "rating_counts": _on(_dense_clean, profile.rating_counts),
     "review_length_stats": _on(_raw_with_length, profile.review_length_stats),
     "activity_stats": _on(_dense_clean, profile.activity_stats),
@@ -193,6 +215,7 @@ QUERIES: dict[str, Query] = {
     "rating_distribution": _on(_dense_clean, features.rating_distribution),
     "popular_products": _on(_dense_clean, popularity.popular_products),
     # history
+    "reviews_of_user": reviews_of_user,
     "user_history": _on(_dense_clean, history.user_history),
     "user_history_summary": _on(_dense_clean, history.user_history_summary),
     "unknown_users": unknown_users,
@@ -214,7 +237,10 @@ QUERIES: dict[str, Query] = {
     "split_counts": _on(_split, factors.split_counts),
     "cf_baseline": cf_baseline,
     "cf_baseline_metrics": cf_baseline_metrics,
+    "cv_metrics_baseline": cv_metrics_baseline,
+    "runs_baseline": runs_baseline,
     "cf_topn": cf_topn,
+    "cf_topn_baseline": cf_topn_baseline,
     "candidates": _on(adapters.text_reviews, hybrid.candidate_counts),
     "cb_scores": cb_scores,
     "hybrid_topn_baseline": hybrid_topn_baseline,

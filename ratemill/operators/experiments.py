@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ratemill.operators.factors import RatingModel, error_metrics, fit_factors, predict, with_split
+from ratemill.operators.factors import RatingModel, error_metrics, fit_biases, fit_factors, predict, with_split
 from ratemill.operators.profile import dataset_stats
+from ratemill.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,25 @@ def _evaluate(split: DataFrame, model: RatingModel) -> tuple[float, float]:
     return metrics["rmse"], metrics["mae"]
 
 
+def _kept(split: DataFrame) -> DataFrame:
+    """The narrow split ratings, computed once for all fits."""
+    ensure_checkpoint_dir(split.sparkSession)
+    return split.select("user_id", "product_id", "rating", "is_train").checkpoint()
+
+
+def bias_runs(split: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
+    """Hold-out errors of the biases for each setting of user_shrinkage and product_shrinkage; `split` has is_train."""
+    split, rows = _kept(split), None
+    for settings in grid:
+        metrics = error_metrics(predict(split.filter(~F.col("is_train")), fit_biases(split.filter("is_train"), **settings)))
+        named = metrics.select(*[F.lit(value).alias(name) for name, value in settings.items()], "rmse", "mae", "n")
+        rows = named if rows is None else rows.unionByName(named)
+    return rows
+
+
 def compare(ratings: DataFrame, grid: tuple[Settings, ...] = GRID) -> tuple[DataFrame, RatingModel]:
     """One row per settings with its hold-out errors, and the model with the least RMSE."""
-    split = with_split(ratings)
+    split = _kept(with_split(ratings))
     size = dataset_stats(ratings).first()
     runs, best, best_rmse = [], None, None
     for settings in grid:
@@ -71,7 +88,7 @@ def retrain(
     the append-only promotions table.
     """
     spark = ratings.sparkSession
-    split = with_split(ratings)
+    split = _kept(with_split(ratings))
     model = _fit(split, settings)
     rmse, _ = _evaluate(split, model)
     model.save(f"{folder}/version={version}")

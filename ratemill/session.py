@@ -24,11 +24,18 @@ def build_session(app_name: str = "ratemill", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints: the one the cluster names, else a fresh local one (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for reliable checkpoints, which all executors share: the one the session names in spark.checkpoint.dir.
+
+    Where none is named, a folder of this machine is taken in local mode only; elsewhere that is an error.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current is not None:
         return current
-    folder = named or tempfile.mkdtemp(prefix="ratemill-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="ratemill-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

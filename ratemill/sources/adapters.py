@@ -16,22 +16,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raw_reviews(spark: SparkSession, folder: str, sparse: bool = False) -> DataFrame:
-    """Returned line items as reviews; `sparse` keeps small quantities only, where filters bite."""
-    items = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R")
-    if sparse:
-        items = items.filter(F.col("l_quantity") <= 10)
+def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """All line items as reviews. A tenth of them go to forty products, and some texts are long."""
+    items = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    often = F.when(F.col("l_suppkey") % 10 == 0, F.col("l_partkey") % 40).otherwise(F.col("l_partkey"))
+    text = F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type")
+    long = (F.col("l_linenumber") == 3) & (F.col("l_suppkey") % 10 == 1)
     return (
         items.join(orders, items.l_orderkey == orders.o_orderkey)
         .join(parts, items.l_partkey == parts.p_partkey)
         .select(
             F.concat(F.lit("U"), F.col("o_custkey")).alias("user_id"),
-            F.concat(F.lit("P"), F.col("l_partkey")).alias("product_id"),
+            F.concat(F.lit("P"), often).alias("product_id"),
             (F.col("l_quantity").cast("int") % 5 + 1).alias("rating"),
             F.when(F.col("l_linenumber") != 7, F.col("p_type")).alias("summary"),
-            F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type").alias("text"),
+            F.when(long, F.repeat(text, F.lit(60))).otherwise(text).alias("text"),
             F.struct(
                 "o_orderdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey"
             ).alias("ord"),
@@ -39,10 +40,22 @@ def raw_reviews(spark: SparkSession, folder: str, sparse: bool = False) -> DataF
     )
 
 
+def raw_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """The reviews as a dump has them: ratings as text, and rows without user, product or rating."""
+    line, order = F.col("ord.l_linenumber"), F.col("ord.l_orderkey")
+    return raw_reviews(spark, folder).select(
+        F.when((line != 6) | (order % 5 != 0), F.col("user_id")).alias("user_id"),
+        F.when((line != 5) | (order % 7 != 0), F.col("product_id")).alias("product_id"),
+        F.when((line != 4) | (order % 11 != 0), F.col("rating").cast("string")).alias("rating"),
+        "summary",
+        "text",
+    )
+
+
 def text_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as reviews, five per product."""
+    """Documents as reviews, five per product; ten users share every hundred documents."""
     return table(spark, folder, "documents").select(
-        F.concat(F.lit("U"), F.col("doc_id") % 97).alias("user_id"),
+        F.concat(F.lit("U"), F.expr("doc_id div 100 * 10 + doc_id % 10")).alias("user_id"),
         F.concat(F.lit("P"), F.expr("doc_id div 5")).alias("product_id"),
         (F.col("n_chars") % 5 + 1).cast("int").alias("rating"),
         F.col("source").alias("summary"),

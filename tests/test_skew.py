@@ -87,10 +87,3 @@ def test_dense_ids(spark):
     assert sorted(r["no"] for r in numbered.collect()) == list(range(500))
     again = dense_ids(keys.repartition(13), "user", "no", buckets=16)
     assert rows(numbered) == rows(again)
-
-
-def test_dense_ids_with_widths(spark):
-    keys = spark.range(100).select(F.concat(F.lit("u"), "id").alias("user"), (F.col("id") % 3 + 1).alias("w"))
-    numbered = dense_ids(keys, "user", "no", "w", buckets=7).collect()
-    taken = sorted(n for r in numbered for n in range(r["no"], r["no"] + r["w"]))
-    assert taken == list(range(sum(r["w"] for r in numbered)))
