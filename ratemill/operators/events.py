@@ -36,12 +36,17 @@ def _moment(events: DataFrame, as_of: str | datetime) -> Column:
 
 
 def trailing(events: DataFrame, as_of: str | datetime, hours: int = 24) -> DataFrame:
-    """Events created in the `hours` up to as_of: what a run at that moment sees."""
+    """Events created in the `hours` up to as_of, both ends included: what a look at that moment shows."""
     now = _moment(events, as_of)
     start = now - F.expr(f"INTERVAL {int(hours)} HOURS")
     return events.filter((F.col("created_at") >= start) & (F.col("created_at") <= now))
 
 
+def between(events: DataFrame, start: str | datetime, end: str | datetime) -> DataFrame:
+    """Events created from `start` up to, but not at, `end`: windows that touch share no event."""
+    return events.filter((F.col("created_at") >= _moment(events, start)) & (F.col("created_at") < _moment(events, end)))
+
+
 def recent_event_count(events: DataFrame, as_of: str | datetime, hours: int = 24) -> DataFrame:
     return trailing(events, as_of, hours).agg(F.count(F.lit(1)).alias("event_count"))
 
@@ -53,14 +58,20 @@ def aggregate_events(events: DataFrame) -> DataFrame:
     )
 
 
+def fold_batches(batches: DataFrame) -> DataFrame:
+    """Event counts per key from aggregated batches: counts add up, last_seen is the latest batch's, even if it is older."""
+    return batches.groupBy(*EVENT_KEY).agg(
+        F.sum("event_count").alias("event_count"), F.max_by("last_seen", "batch_id").alias("last_seen")
+    )
+
+
 def merge_processed(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Upsert: counts of a known key add up, and its last_seen becomes the batch's, even if that is older."""
-    old, new = existing.alias("old"), batch.alias("new")
-    return old.join(new, EVENT_KEY, "full_outer").select(
-        *EVENT_KEY,
-        (F.coalesce("old.event_count", F.lit(0)) + F.coalesce("new.event_count", F.lit(0))).alias("event_count"),
-        F.coalesce("new.last_seen", "old.last_seen").alias("last_seen"),
+    """Upsert of one aggregated batch into a table of counts: the fold of the two."""
+    columns = [*EVENT_KEY, "event_count", "last_seen"]
+    old, new = (
+        table.select(*columns, F.lit(number).alias("batch_id")) for number, table in enumerate((existing, batch))
     )
+    return fold_batches(old.unionByName(new))
 
 
 def popular_by_events(events: DataFrame, as_of: str | datetime, n: int = 100) -> DataFrame:

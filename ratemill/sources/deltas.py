@@ -1,41 +1,95 @@
 """Keyed tables kept as one aggregated delta per batch.
 
-A batch writes only its own folder and a repeated batch overwrites it, so nothing is counted twice and
-no table is rewritten per batch. The current table is an aggregation over the deltas; compact() folds
-old ones together.
+A batch writes only its own folder, so nothing is counted twice and no table is rewritten per batch. A batch id is text
+whose order is that of the batches: the bounds of a window of time, or a stream's name and the number of its micro-batch.
+The current table is an aggregation over the deltas; compact() folds old ones together.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import re
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from ratemill.operators.events import EVENT_KEY, aggregate_events, trailing
+from ratemill.operators.events import aggregate_events, between, fold_batches
 
+_WINDOW = re.compile(r"batch_id=(\d{12})_(\d{12})$")
 
-def write_delta(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+
+def stream_batch(stream: str, number: int) -> str:
+    """The id of a micro-batch. `stream` names one checkpoint folder: a new checkpoint counts from 0 again."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9-]*", stream):
+        raise ValueError("a stream's name has letters, digits and hyphens, a letter first")
+    return f"{stream}_{int(number):012d}"
+
+
+def _seconds(moment: datetime) -> int:
+    """Seconds since 1970; a moment without a zone is taken as UTC."""
+    value = (moment if moment.tzinfo else moment.replace(tzinfo=UTC)).timestamp()
+    if value != int(value) or value < 0:
+        raise ValueError("batch bounds are whole seconds from 1970 on")
+    return int(value)
+
+
+def write_delta(rows: DataFrame, path: str, batch_id: str) -> None:
+    """Write a batch's rows as its delta; a repeated batch replaces its own delta and no other."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def windows(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Bounds, in seconds, of the time windows that a delta table holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(folder))
+    return sorted((int(m[1]), int(m[2])) for m in map(_WINDOW.match, names) if m)
+
+
+def merge_window(events: DataFrame, start: datetime, end: datetime, path: str) -> None:
+    """The periodic job: counts of the events from `start` up to, not at, `end`, as the delta of that window.
+
+    The same window again replaces its delta. A window that overlaps another one is refused: its events would count
+    twice. Pass the end of the window before as `start`, and no event is left out.
+    """
+    low, high = _seconds(start), _seconds(end)
+    if low >= high:
+        raise ValueError("a window ends after it starts")
+    for other in windows(events.sparkSession, path):
+        if other != (low, high) and low < other[1] and other[0] < high:
+            raise ValueError(f"the window overlaps the one from {other[0]} to {other[1]}")
+    write_delta(aggregate_events(between(events, start, end)), path, f"{low:012d}_{high:012d}")
 
 
 def merge_day(events: DataFrame, as_of: datetime, path: str) -> None:
-    """The daily job: counts of the 24 hours up to as_of, as the delta of that day. A second run of a day replaces it."""
-    write_delta(aggregate_events(trailing(events, as_of)), path, int(as_of.strftime("%Y%m%d")))
+    """The daily job at `as_of`: from where the latest window ends (24 hours before, at first) up to `as_of`.
+
+    A second run at the same moment repeats its window.
+    """
+    moment = _seconds(as_of)
+    known = windows(events.sparkSession, path)
+    same = [low for low, high in known if high == moment]
+    start = same[0] if same else max((high for _, high in known), default=moment - 24 * 3600)
+    zone = as_of.tzinfo
+    begin = datetime.fromtimestamp(start, UTC)
+    merge_window(events, begin.astimezone(zone) if zone else begin.replace(tzinfo=None), as_of, path)
 
 
 def read_deltas(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """All deltas with their batch_id. With a schema no file is opened to infer one."""
     reader = spark.read.option("basePath", path)
-    return (reader.schema(schema) if schema else reader).parquet(path)
+    if schema:
+        fields = [f for f in schema.fields if f.name != "batch_id"]
+        return reader.schema(StructType(fields).add("batch_id", StringType())).parquet(path)
+    return reader.parquet(path).withColumn("batch_id", F.col("batch_id").cast("string"))
 
 
 def processed_events(deltas: DataFrame) -> DataFrame:
-    """Event counts per key: counts add up, last_seen is the latest batch's, even if it is older."""
-    return deltas.groupBy(*EVENT_KEY).agg(
-        F.sum("event_count").alias("event_count"), F.max_by("last_seen", "batch_id").alias("last_seen")
-    )
+    """Event counts per key over all deltas."""
+    return fold_batches(deltas)
 
 
 def user_event_features(deltas: DataFrame) -> DataFrame:
@@ -48,12 +102,12 @@ def user_event_features(deltas: DataFrame) -> DataFrame:
     )
 
 
-def compact(deltas: DataFrame, fold, up_to: int, path: str) -> None:
+def compact(deltas: DataFrame, fold, up_to: str, path: str) -> None:
     """Write a new delta table at `path`: batches up to `up_to` folded into one, later ones as they are.
 
     `fold` is processed_events, or another aggregation that keeps the delta's columns. The old table
     is left alone; readers move to the new path when it is complete.
     """
-    folded = fold(deltas.filter(F.col("batch_id") <= up_to)).withColumn("batch_id", F.lit(int(up_to)))
+    folded = fold(deltas.filter(F.col("batch_id") <= up_to)).withColumn("batch_id", F.lit(up_to))
     later = deltas.filter(F.col("batch_id") > up_to)
     folded.unionByName(later).write.mode("overwrite").partitionBy("batch_id").parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ratemill import schemas
 from ratemill.operators.events import aggregate_events, decode_events, encode_events
-from ratemill.sources.deltas import write_delta
+from ratemill.sources.deltas import stream_batch, write_delta
 
 TOPIC = "user-events"
 
@@ -93,20 +93,40 @@ def publish(events: DataFrame, sink: str = "kafka", **options: str):
     return writer.format(sink).options(**options)
 
 
-def start_processed_upsert(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def start_processed_upsert(
+    stream: DataFrame, path: str, checkpoint: str, once: bool = False, name: str = "stream"
+) -> StreamingQuery:
     """Keep counts per (user, product, type) current: each micro-batch adds its own delta.
 
-    A micro-batch that is repeated after a failure overwrites its delta, so counts stay exact. Read the
-    table with deltas.processed_events.
+    A micro-batch that is repeated after a failure overwrites its delta, so counts stay exact. `name` stands for the
+    checkpoint folder: a stream that starts with a new one needs a new name, and starting it with a used name is
+    refused, as its numbers would begin again over the old deltas. Read the table with deltas.processed_events.
     """
     good = stream.filter("ok")
-    return _each_batch(good, lambda batch, number: write_delta(aggregate_events(batch), path, number), checkpoint, once)
+    _own_name(stream.sparkSession, path, checkpoint, name)
+    return _each_batch(
+        good, lambda batch, number: write_delta(aggregate_events(batch), path, stream_batch(name, number)), checkpoint, once
+    )
 
 
-def start_user_features(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def start_user_features(
+    stream: DataFrame, path: str, checkpoint: str, once: bool = False, name: str = "stream"
+) -> StreamingQuery:
     """Keep per-user features current, with exact distinct products; read with deltas.user_event_features."""
     good = stream.filter("ok")
-    return _each_batch(good, lambda batch, number: write_delta(user_product_counts(batch), path, number), checkpoint, once)
+    _own_name(stream.sparkSession, path, checkpoint, name)
+    return _each_batch(
+        good, lambda batch, number: write_delta(user_product_counts(batch), path, stream_batch(name, number)), checkpoint, once
+    )
+
+
+def _own_name(spark: SparkSession, path: str, checkpoint: str, name: str) -> None:
+    """Refuse a new checkpoint under a name that has deltas already."""
+    files = spark._jvm.org.apache.hadoop.fs
+    begun, first = files.Path(f"{checkpoint}/offsets"), files.Path(f"{path}/batch_id={stream_batch(name, 0)}")
+    settings = spark._jsc.hadoopConfiguration()
+    if first.getFileSystem(settings).exists(first) and not begun.getFileSystem(settings).exists(begun):
+        raise ValueError(f"{path} holds deltas of a stream named {name}; a new checkpoint needs another name")
 
 
 def user_product_counts(events: DataFrame) -> DataFrame:
@@ -120,7 +140,11 @@ def user_product_counts(events: DataFrame) -> DataFrame:
 
 
 def approximate_user_features(stream: DataFrame) -> DataFrame:
-    """Per-user features inside the streaming state alone, with a sketch for distinct products."""
+    """Per-user features inside the streaming state alone, with a sketch for distinct products.
+
+    They are features over all time, so the state keeps one row per user and grows with the number of users, as the table
+    itself does. start_user_features keeps no state.
+    """
     return (
         stream.filter("ok")
         .groupBy("user_id")

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -102,13 +103,13 @@ def test_deltas_repeat_and_compact(spark, tmp_path):
     shape = "user_id string, product_id string, event_type string, event_count long, last_seen timestamp"
     path = str(tmp_path / "t")
     late, early = datetime(2024, 1, 5), datetime(2024, 1, 1)
-    deltas.write_delta(spark.createDataFrame([("u", "p", "view", 2, late)], shape), path, 1)
+    deltas.write_delta(spark.createDataFrame([("u", "p", "view", 2, late)], shape), path, "s_1")
     for _ in range(2):
-        deltas.write_delta(spark.createDataFrame([("u", "p", "view", 3, early)], shape), path, 2)
-    deltas.write_delta(spark.createDataFrame([("u", "q", "view", 1, late)], shape), path, 3)
+        deltas.write_delta(spark.createDataFrame([("u", "p", "view", 3, early)], shape), path, "s_2")
+    deltas.write_delta(spark.createDataFrame([("u", "q", "view", 1, late)], shape), path, "s_3")
     want = [("u", "p", "view", 5, early), ("u", "q", "view", 1, late)]
     assert rows(deltas.processed_events(deltas.read_deltas(spark, path))) == sorted(want, key=repr)
-    deltas.compact(deltas.read_deltas(spark, path), deltas.processed_events, 2, str(tmp_path / "c"))
+    deltas.compact(deltas.read_deltas(spark, path), deltas.processed_events, "s_2", str(tmp_path / "c"))
     compacted = deltas.read_deltas(spark, str(tmp_path / "c"))
     assert compacted.count() == 2
     assert rows(deltas.processed_events(compacted)) == sorted(want, key=repr)
@@ -124,6 +125,56 @@ def test_daily_merge_can_run_twice(spark, tmp_path):
     assert rows(deltas.processed_events(deltas.read_deltas(spark, path))) == [("u", "p", "view", 3, times[2])]
 
 
+def clicked_at(spark, times):
+    shape = "user_id string, product_id string, event_type string, created_at timestamp"
+    return spark.createDataFrame([("u", "p", "view", t) for t in times], shape)
+
+
+def total(spark, path):
+    return deltas.processed_events(deltas.read_deltas(spark, path, schemas.PROCESSED_EVENTS)).first()["event_count"]
+
+
+def test_two_runs_on_one_day_keep_all_events(spark, tmp_path):
+    clicked = clicked_at(spark, [datetime(2024, 1, 1, 5), datetime(2024, 1, 2, 5), datetime(2024, 1, 2, 22)])
+    path = str(tmp_path / "days")
+    deltas.merge_day(clicked, datetime(2024, 1, 2), path)
+    deltas.merge_day(clicked, datetime(2024, 1, 2, 23), path)
+    assert total(spark, path) == 3
+
+
+def test_event_at_the_moment_of_a_run_counts_once(spark, tmp_path):
+    clicked = clicked_at(spark, [datetime(2024, 1, 1, 13), datetime(2024, 1, 2, 12)])
+    path = str(tmp_path / "days")
+    for day in (2, 3, 3, 4):
+        deltas.merge_day(clicked, datetime(2024, 1, day, 12), path)
+    assert total(spark, path) == 2
+    assert len(deltas.windows(spark, path)) == 3
+
+
+def test_a_gap_between_runs_is_caught_up_and_overlaps_are_refused(spark, tmp_path):
+    clicked = clicked_at(spark, [datetime(2024, 1, day, 18) for day in range(1, 8)])
+    path = str(tmp_path / "days")
+    deltas.merge_day(clicked, datetime(2024, 1, 2), path)
+    deltas.merge_day(clicked, datetime(2024, 1, 8), path)
+    assert total(spark, path) == 7
+    with pytest.raises(ValueError):
+        deltas.merge_window(clicked, datetime(2024, 1, 1, 12), datetime(2024, 1, 2, 12), path)
+    with pytest.raises(ValueError):
+        deltas.merge_window(clicked, datetime(2024, 1, 9), datetime(2024, 1, 9), path)
+
+
+def test_a_new_checkpoint_needs_a_new_name(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "t")
+    write_lines(source, "1.txt", [message("u", "p", "view")])
+    stream = clicks.decoded(clicks.read_files(spark, str(source)))
+    run([clicks.start_processed_upsert(stream, path, str(tmp_path / "c1"), once=True, name="a")])
+    with pytest.raises(ValueError):
+        clicks.start_processed_upsert(stream, path, str(tmp_path / "c2"), once=True, name="a")
+    run([clicks.start_processed_upsert(stream, path, str(tmp_path / "c1"), once=True, name="a")])
+    run([clicks.start_processed_upsert(stream, path, str(tmp_path / "c2"), once=True, name="b")])
+    assert total(spark, path) == 2
+
+
 def test_publish_to_files(spark, tmp_path):
     decoded = events.decode_events(spark.createDataFrame([(message("u", "p", "view"),)], "value string"))
     clicks.publish(decoded, "json").save(str(tmp_path / "out"))
