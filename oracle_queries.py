@@ -327,9 +327,16 @@ FROM clicks GROUP BY product_id ORDER BY interaction_count DESC, product_id LIMI
     "user_event_features": CLICKS + """ SELECT user_id, count(*) AS total_events,
   count(DISTINCT product_id) AS unique_products, count(*) FILTER (event_type = 'purchase') AS purchases,
   count(*) FILTER (event_type = 'view') AS views, max(created_at) AS last_active FROM clicks GROUP BY user_id""",
-    "product_profiles": TEXT + """ SELECT product_id, CAST(0 AS BIGINT) AS part,
-  string_agg(text, ' ' ORDER BY ord) AS combined_text, count(rating) AS review_count, avg(rating) AS avg_rating
-FROM reviews GROUP BY product_id""",
+    "product_profiles": TEXT + """,
+placed AS (
+  SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (
+    PARTITION BY product_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 5000 AS BIGINT) AS section
+  FROM reviews
+),
+stats AS (SELECT product_id, count(rating) AS review_count, avg(rating) AS avg_rating FROM reviews GROUP BY product_id)
+SELECT product_id, section, string_agg(text, ' ' ORDER BY ord) AS combined_text,
+  any_value(review_count) AS review_count, any_value(avg_rating) AS avg_rating
+FROM placed JOIN stats USING (product_id) GROUP BY product_id, section""",
     "tfidf_vocab": TERMS + f" SELECT term, df, total, {rounded('idf', 6)} AS idf FROM vocab",
     "tfidf_terms": TERMS + f" SELECT product_id, term, {rounded('weight', 6)} AS weight FROM weights",
     "product_cosine": NEAR + f""" SELECT product_id, similar_id, {rounded('similarity', 6)} AS similarity, similar_rank

@@ -14,6 +14,7 @@ from ratemill.sources.adapters import AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
 DAY_BEFORE = "2024-01-30 00:00:00"
 FIXTURE_SUPPORT = 5  # text reviews have five rows per product
+FIXTURE_SECTION = 5_000  # characters; so that products have several sections
 ACTIVE = {"min_user_reviews": 38, "min_product_reviews": 15}  # near the averages of the given tables, so that both bite
 
 
@@ -81,7 +82,8 @@ def processed_events_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def tfidf_vocab(spark: SparkSession, folder: str) -> DataFrame:
     reviews = adapters.text_reviews(spark, folder)
-    kept = content.vocabulary(content.term_counts(content.term_rows(reviews)), content.product_count(reviews))
+    counts = content.term_counts(content.term_rows(reviews))
+    kept = content.vocabulary(counts, content.product_count(reviews))
     return kept.withColumn("idf", F.round("idf", 6))
 
 
@@ -103,7 +105,9 @@ def similar_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _content_scores(reviews: DataFrame) -> DataFrame:
-    return hybrid.content_scores(reviews, content.content_neighbours(reviews))
+    """Content scores; only products that somebody liked are asked for their neighbours."""
+    seeds = history.liked_seed(reviews)
+    return hybrid.content_scores(reviews, content.content_neighbours(reviews, asked=seeds))
 
 
 def cb_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +232,7 @@ QUERIES: dict[str, Query] = {
     "popular_by_events": _on(adapters.clickstream, events.popular_by_events, AS_OF),
     "user_event_features": _on(adapters.clickstream, events.user_event_features),
     # content
-    "product_profiles": _on(adapters.text_reviews, content.product_profiles),
+    "product_profiles": _on(adapters.text_reviews, content.product_profiles, FIXTURE_SECTION),
     "tfidf_vocab": tfidf_vocab,
     "tfidf_terms": tfidf_terms,
     "product_cosine": product_cosine,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.session import ensure_checkpoint_dir
+from ratemill.session import stored
 
 # A key below HOT_ROWS rows is an ordinary shuffle group. The hot list is cut at MAX_HOT_KEYS, which
 # bounds the broadcast; a key that falls off it holds less than 1/MAX_HOT_KEYS of all rows, so it only
@@ -105,20 +105,21 @@ def small_groups(rows: DataFrame, key: str, order: str, below: int) -> DataFrame
     )
 
 
+def _sections(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """`rows` range-partitioned by (key, order), so that one key covers many tasks, with the number of the section.
+
+    They are stored, as every step on them must see the same sections.
+    """
+    return stored(rows.repartitionByRange(F.col(key), F.col(order)).withColumn("_section", F.spark_partition_id()))
+
+
 def next_in_large_group(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
     """Add `out`: `value` of the row that follows within `key` by `order` (null on the last one).
 
-    The same as lead() over a window by key, for keys too large for one task: the rows are
-    range-partitioned by (key, order), so that one key covers many tasks; each task looks ahead on its
-    own, and its last row of a key takes the first value of the key's next section. The sections are
-    checkpointed, as both steps must see the same ones.
+    The same as lead() over a window by key, for keys too large for one task: each task looks ahead in its own
+    section, and its last row of a key takes the first value of the key's next section.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    sections = (
-        rows.repartitionByRange(F.col(key), F.col(order))
-        .withColumn("_section", F.spark_partition_id())
-        .checkpoint()
-    )
+    sections = _sections(rows, key, order)
     seams = (
         sections.groupBy(key, "_section")
         .agg(F.min_by(value, order).alias("_first"))
@@ -133,3 +134,24 @@ def next_in_large_group(rows: DataFrame, key: str, order: str, value: str, out:
         .withColumn(out, F.when(F.col("_last"), F.col("_seam")).otherwise(F.col(out)))
         .select(*rows.columns, out)
     )
+
+
+def total_before_in_large_group(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """Add `out`: the sum of `value` over the rows before this one within `key` by `order`, 0 on the first.
+
+    The same as a running sum over a window by key, for keys too large for one task: each section adds up its own
+    rows and starts from the sums of the key's sections before it.
+    """
+    sections = _sections(rows, key, order)
+    earlier = Window.partitionBy(key).orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        sections.groupBy(key, "_section")
+        .agg(F.sum(value).alias("_sum"))
+        .select(key, "_section", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy(key, "_section").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        sections.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(starts, [key, "_section"])
+        .select(*rows.columns, (F.col(out) + F.col("_start")).alias(out))
+    )

@@ -1,10 +1,11 @@
-"""Session helpers: a tuned local builder, and the shared checkpoint folder."""
+"""Session helpers: a tuned local builder, the shared checkpoint folder, and tables kept there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "ratemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="ratemill-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` computed once and read back from a Parquet table in the shared folder; it goes when the driver ends.
+
+    For what several plans read: columns that a plan does not use are not read, and a lost executor costs a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
