@@ -20,7 +20,7 @@ raw AS (
          CAST(1 + CAST(l_quantity AS INT) % 5 AS INT) AS rating,
          CASE WHEN l_linenumber = 7 THEN NULL ELSE p_type END AS summary,
          repeat(p_name || ' ' || p_brand || ' ' || p_type,
-                CASE WHEN l_linenumber = 3 AND l_suppkey % 10 = 1 THEN 60 ELSE 1 END) AS text,
+                CASE WHEN l_linenumber = 3 AND l_suppkey % 10 = 1 THEN 200 ELSE 1 END) AS text,
          o_orderdate AS o1, l_orderkey AS o2, l_linenumber AS o3, l_quantity AS o4,
          l_extendedprice AS o5, l_suppkey AS o6
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey

@@ -17,19 +17,6 @@ from ratemill.session import stored
 # loses the special treatment, never rows.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
-SALTS = 64
-
-
-def hot_keys(rows: DataFrame, key: str, min_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """The heaviest keys of `rows`: at most max_keys of them, each with min_rows rows or more."""
-    return (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"), F.asc(key))
-        .limit(max_keys)
-        .select(key)
-    )
 
 
 def spread_join(
@@ -43,8 +30,8 @@ def spread_join(
 ) -> DataFrame:
     """Join `rows` to `values`, which has one row per key and the key's row count in `weight`.
 
-    Rows of the heaviest keys take their values from a broadcast of at most MAX_HOT_KEYS rows and are
-    spread over the shuffle by a hash of `spread_by`; all other rows meet `values` in the shuffle. Both
+    Rows of the heaviest keys take their values from a broadcast of at most MAX_HOT_KEYS rows and pass the shuffle
+    by a hash of `spread_by`, evenly however heavy the key is; all other rows meet `values` there. Both
     uses of `values` read the same columns, so Spark computes it once and reuses the exchange. The extra
     join key also keeps a shuffle directly under either side, which lets adaptive execution split a
     key that is heavy in `rows` alone. `how` is inner or left; `weight` is not part of the result.
@@ -58,11 +45,11 @@ def spread_join(
         .limit(MAX_HOT_KEYS)
         .select(key, F.struct(*columns).alias("_heavy"))
     )
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int") + 1
+    salt = F.xxhash64(*spread_by).bitwiseOR(F.lit(1))  # never 0, which stands for rows of lighter keys
     left = rows.join(F.broadcast(heavy), key, "left").withColumn(
-        "_salt", F.when(F.col("_heavy").isNotNull(), salt).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_heavy").isNotNull(), salt).otherwise(F.lit(0).cast("long"))
     )
-    right = values.select(key, F.struct(*columns).alias("_light"), F.explode(F.array(F.lit(0))).alias("_salt"))
+    right = values.select(key, F.struct(*columns).alias("_light"), F.explode(F.array(F.lit(0).cast("long"))).alias("_salt"))
     joined = left.join(right, [key, "_salt"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
     if how == "inner":
         joined = joined.filter(F.col("_found").isNotNull())
@@ -74,6 +61,8 @@ def salted_join(
 ) -> DataFrame:
     """Join with every key of `rows` split over `salts` shuffle groups and all of `values` repeated.
 
+    Both sides are plain shuffles, so adaptive execution splits a group that is still too large.
+
     For a `values` side much smaller than `rows`, where finding the heavy keys first would mean computing
     `rows` twice. `how` keeps or drops left rows: inner, left, left_semi, left_anti.
     """

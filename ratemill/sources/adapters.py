@@ -32,7 +32,7 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(F.lit("P"), often).alias("product_id"),
             (F.col("l_quantity").cast("int") % 5 + 1).alias("rating"),
             F.when(F.col("l_linenumber") != 7, F.col("p_type")).alias("summary"),
-            F.when(long, F.repeat(text, F.lit(60))).otherwise(text).alias("text"),
+            F.when(long, F.repeat(text, F.lit(200))).otherwise(text).alias("text"),
             F.struct(
                 "o_orderdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey"
             ).alias("ord"),

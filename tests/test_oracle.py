@@ -38,7 +38,7 @@ def test_entry(spark):
 def test_expected_counts(spark):
     """Row counts of the cleaning steps that the fixture notes list."""
     run = queries()
-    assert run["reviews_dedup_first"](spark, FOLDER).count() == 1595
-    assert run["active_users_filter"](spark, FOLDER).count() == 211
-    assert run["reviews_clean"](spark, FOLDER).count() == 75
-    assert run["reviews_enriched"](spark, FOLDER).count() == 1589
+    assert run["reviews_dedup_first"](spark, FOLDER).count() == 4641
+    assert run["active_users_filter"](spark, FOLDER).count() == 1925
+    assert run["reviews_clean"](spark, FOLDER).count() == 127
+    assert run["reviews_enriched"](spark, FOLDER).count() == 4641

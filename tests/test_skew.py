@@ -76,9 +76,12 @@ def test_next_in_large_group(skewed):
     assert rows(got) == rows(want)
 
 
-def test_hot_keys_are_bounded(skewed):
-    assert [r[0] for r in skew.hot_keys(skewed, "key", 50).collect()] == ["k0"]
-    assert skew.hot_keys(skewed, "key", 1, 10).count() == 10
+def test_total_before_in_large_group(skewed):
+    before = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    want = skewed.withColumn("total", F.coalesce(F.sum("ord").over(before), F.lit(0)))
+    for partitions in (1, 7, 31):
+        got = skew.total_before_in_large_group(skewed.repartition(partitions), "key", "ord", "ord", "total")
+        assert rows(got) == rows(want)
 
 
 def test_dense_ids(spark):
