@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratemill.llm import words
+from ratemill.llm.tables import written
 
 ORDER = 4
 _START, _END, _FOLD = 1, 2, 0xF000
@@ -78,7 +79,10 @@ def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def count(docs: DataFrame, kind: str) -> DataFrame:
-    """label, gram, n of `docs` (label, text): how often each four-symbol gram stands in the texts of each label."""
+    """label, gram, n of `docs` (label, text): how often each four-symbol gram stands in the texts of each label.
+
+    A written table: the texts are read once, though the fit looks at the counts twice.
+    """
 
     def emit(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
         for label, parts in held.items():
@@ -105,7 +109,7 @@ def count(docs: DataFrame, kind: str) -> DataFrame:
                     held, size = {}, 0
         yield from emit(held)
 
-    return docs.mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return written(docs.mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")))
 
 
 def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +211,7 @@ def estimate(label: list[str], gram: np.ndarray, n: np.ndarray, modified: bool)
     return model
 
 
-def scored(docs: DataFrame, model: Model, kind: str, result: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
+def scored(docs: DataFrame, model: Model, kind: str, result: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], list[pa.Array]], schema, names: list[str]) -> DataFrame:
     """Rows made by `result` from a slice of `docs`, its (texts, labels) bits in all, and its texts' symbols (word ends included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
