@@ -50,7 +50,8 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(_table(spark, folder, "documents"), trusted(_table(spark, folder, "labels")))
+    found = quality.judge(_table(spark, folder, "documents"), trusted(_table(spark, folder, "labels")))
+    return found.withColumn("kept", ~F.col("rejected"))
 
 
 def op8_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
