@@ -308,7 +308,7 @@ FROM clean GROUP BY product_id""",
   product_id, rating, summary FROM clean QUALIFY rank <= 20""",
     "user_history_summary": DENSE + f""" SELECT user_id, count(*) AS total_reviews,
   {rounded("avg(rating)", 2)} AS avg_rating_given FROM clean GROUP BY user_id""",
-    "unknown_users": DENSE + """ SELECT DISTINCT 'U' || c_custkey AS user_id FROM customer
+    "unknown_users": ACTIVE + """ SELECT DISTINCT 'U' || c_custkey AS user_id FROM customer
   WHERE 'U' || c_custkey NOT IN (SELECT user_id FROM clean)""",
     "user_liked_seed": TEXT + """ SELECT user_id, product_id,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ord, product_id) AS INT) AS seed_rank

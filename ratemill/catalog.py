@@ -61,7 +61,7 @@ def _raw_with_length(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unknown_users(spark: SparkSession, folder: str) -> DataFrame:
-    return history.unknown_users(adapters.customers(spark, folder), _dense_clean(spark, folder))
+    return history.unknown_users(adapters.customers(spark, folder), _active_clean(spark, folder))
 
 
 def event_json_decode(spark: SparkSession, folder: str) -> DataFrame:
