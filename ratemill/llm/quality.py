@@ -39,7 +39,8 @@ def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: floa
     one; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # As many ids as there are trusted texts: they grow with the documents, so they are shuffled at every size, never broadcast.
+    trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().hint("merge")
     learned = docs.join(trusted, "doc_id", "left_semi").where("text IS NOT NULL").select(F.col("lang").alias("label"), "text")
     model = charlm.fit(charlm.count(learned, "visible"), modified=True)
     costs = written(_costs(docs, model))
