@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratemill.operators import cleaning, content, events, experiments, factors, features, history, hybrid, popularity, profile
+from ratemill.session import stored
 from ratemill.sources import adapters
 from ratemill.sources.adapters import AS_OF
 
@@ -49,7 +50,7 @@ def reviews_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reviews_enriched(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.enrich(_dense_clean(spark, folder)).drop("ord")
+    return cleaning.enrich(stored(_dense_clean(spark, folder))).drop("ord")
 
 
 def _clean_with_length(spark: SparkSession, folder: str) -> DataFrame:
