@@ -51,8 +51,8 @@ def _anchors(window: int):
                 # A gram stands for a window if it is no larger than the least gram of some window around it.
                 reach = _sliding(np.concatenate((np.zeros(span, np.uint64), np.where(there, least, 0), np.zeros(span, np.uint64))), span + 1, np.maximum)
                 at = np.flatnonzero(found <= reach[: len(found)]) if len(reach) else np.zeros(0, np.int64)
-                ids = np.asarray(part.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(ids[text[at]], pa.int64())], ["anchor", "doc_id"])
+                ids = np.asarray(part.column("row"))
+                yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(ids[text[at]], pa.int64())], ["anchor", "row"])
 
     return run
 
@@ -84,11 +84,11 @@ def _blocks(window: int):
                 listed = windows[taken]
                 bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
                 prints = words.ranges(words.mix(listed), bounds[:-1], bounds[1:]) if len(size) else np.zeros(0, np.uint64)
-                ids = np.asarray(part.column("doc_id"))[text[first]]
+                ids = np.asarray(part.column("row"))[text[first]]
                 firsts = words.spans_of(text, len(part))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(first - firsts[text[first]], pa.int64()), pa.array(size, pa.int64()), pa.array(prints.view(np.int64)), words.list_column(listed.view(np.int64), bounds, pa.int64())],
-                    ["doc_id", "at", "size", "print", "windows"],
+                    ["row", "at", "size", "print", "windows"],
                 )
 
     return run
@@ -133,25 +133,30 @@ def _cut(window: int):
 
 
 def duplicate_factors(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """The documents dealt by doc_id, and (doc_id, at, size): `size` consecutive windows from word `at` on that start elsewhere too."""
+    """The documents (row, doc_id, text) dealt by row, and (row, at, size): `size` consecutive windows from word `at` on that start elsewhere too.
+
+    `row` is a hash of id and text, so rows that share an id, or have none, are told apart by their texts.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long")
-    anchors = written(anchors.groupBy("anchor", "doc_id").agg(F.count(F.lit(1)).alias("times")))
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    anchors = docs.select("row", "text").mapInArrow(_anchors(window), "anchor long, row long")
+    anchors = written(anchors.groupBy("anchor", "row").agg(F.count(F.lit(1)).alias("times")))
     matched = anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
-    wanted = anchors.select("anchor", "doc_id").join(matched, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = anchors.select("anchor", "row").join(matched, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
 
-    dealt = docs.repartition(partitions(spark), "doc_id")
-    placed = written(dealt.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_blocks(window), "doc_id long, at long, size long, print long, windows array<long>"))
+    dealt = docs.repartition(partitions(spark), "row")
+    placed = dealt.join(wanted, "row").select("row", "text", "anchors")
+    placed = written(placed.mapInArrow(_blocks(window), "row long, at long, size long, print long, windows array<long>"))
     index = placed.groupBy("print").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.first("windows").alias("windows")
+        F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min("at").alias("at"), F.first("windows").alias("windows")
     )
     index = written(index)
-    entries = index.select("print", "copies", "doc_id", "at", F.posexplode("windows").alias("step", "window"))
+    entries = index.select("print", "copies", "row", "at", F.posexplode("windows").alias("step", "window"))
     repeated = entries.groupBy("window").agg(F.sum("copies").alias("copies")).where("copies > 1").select("window")
-    single = entries.where("copies = 1").join(repeated, "window").select("doc_id", (F.col("at") + F.col("step")).alias("at"), F.lit(1).cast("long").alias("size"))
-    whole = placed.select("doc_id", "at", "size", "print").join(index.where("copies > 1").select("print"), "print")
-    return dealt, whole.select("doc_id", "at", "size").unionAll(single)
+    single = entries.where("copies = 1").join(repeated, "window").select("row", (F.col("at") + F.col("step")).alias("at"), F.lit(1).cast("long").alias("size"))
+    whole = placed.select("row", "at", "size", "print").join(index.where("copies > 1").select("print"), "print")
+    return dealt, whole.select("row", "at", "size").unionAll(single)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -159,11 +164,12 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     A word goes if some `window` consecutive words around it (words are runs of characters other than space and 09-0D,
     unchanged) start anywhere else too, in the same document or another; all copies go. Null and empty texts and texts
-    shorter than a window keep all they have. doc_id must be unique; other columns are ignored.
+    shorter than a window keep all they have. Every row counts as a document, repeated rows and rows without an id too;
+    other columns are ignored.
     """
     dealt, factors = duplicate_factors(docs, window)
-    listed = factors.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("factors"))
-    joined = dealt.join(listed, "doc_id", "left")
+    listed = factors.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("factors"))
+    joined = dealt.join(listed, "row", "left")
     none = F.expr("cast(array() as array<struct<at: bigint, size: bigint>>)")
     joined = joined.select("doc_id", "text", F.coalesce("factors", none).alias("factors"))
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -260,7 +260,7 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append({"host": host, "tree": tree, "tree_hash": xxhash.xxh64_intdigest(tree) - (1 << 63), "body": body, "places": stats})
         places = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int64())]))
         columns = [pa.array([r[c] for r in rows], t) for c, t in (("host", pa.string()), ("tree", pa.string()), ("tree_hash", pa.int64()), ("body", pa.int64()), ("places", places))]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], ["page_id", "host", "tree", "tree_hash", "body", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "host", "tree", "tree_hash", "body", "places"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +301,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without an article's text, have an empty text. Pages without a host in their url are
     a host of their own. Equal pages of a host count once when its template is induced, so copies are not taken
     for one. A host with fewer than four distinct pages has no template; its articles are found by their marks and length.
-    page_id must be unique; a null one is extracted without a wrapper. Other columns are ignored.
+    Every row gives a row, repeated ids and rows without one too; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][^:/]*://([^/?#:]+)", 1))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    kind = "page_id long, host string, tree string, tree_hash long, body long, places array<struct<hash: long, size: long>>"
-    surveyed = written(pages.select("page_id", host.alias("host"), "html").mapInArrow(_surveyed, kind))
+    # Rows are told apart by a hash of all they have, so an id may be missing or stand twice.
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
+    kind = "row long, host string, tree string, tree_hash long, body long, places array<struct<hash: long, size: long>>"
+    surveyed = written(pages.select("row", host.alias("host"), "html").mapInArrow(_surveyed, kind))
 
     distinct = surveyed.groupBy("host", "tree_hash", "body").agg(F.first("tree").alias("tree"), F.first("places").alias("places"))
     each = distinct.select("host", "tree_hash", "tree", F.posexplode("places").alias("place", "s")).select("host", "tree_hash", "tree", "place", "s.*")
@@ -327,5 +328,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     common = common.groupBy("host", "place").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where((F.col("n") >= PAGES) & (F.col("top") >= SAME * F.col("n")))
     constant = common.groupBy("host").agg(F.collect_list("place").alias("constant"))
     rules = aligned.join(constant, "host", "left").mapInArrow(_decided, "host string, tree_hash long, box int, template array<int>")
-    ruled = surveyed.where("page_id IS NOT NULL").select("page_id", "host", "tree_hash").join(rules, ["host", "tree_hash"]).select("page_id", "box", "template")
-    return pages.join(ruled, "page_id", "left").select("page_id", "url", "html", "box", "template").mapInArrow(_extracted, "page_id long, url string, text string")
+    ruled = surveyed.select("row", "host", "tree_hash").distinct().join(rules, ["host", "tree_hash"]).select("row", "box", "template")
+    return pages.join(ruled, "row", "left").select("page_id", "url", "html", "box", "template").mapInArrow(_extracted, "page_id long, url string, text string")

@@ -107,6 +107,15 @@ def test_repeated_windows(spark):
     assert substring_dup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    long = [" ".join(f"{c}{k}" for k in range(50)) for c in "ab"]
+    rows = [(1, long[0]), (1, long[1] + " more words"), (1, "short"), (2, long[1]), (2, long[1]), (None, long[0]), (None, None)]
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dup.remove_repeats(table(spark, rows)).collect())
+    assert found == [(0, 0, 0), (0, 50, 50), (1, 1, 0), (1, 50, 50), (1, 52, 50), (2, 50, 50), (2, 50, 50)]
+    near = near_dup.near_duplicates(table(spark, rows)).collect()
+    assert len(near) == len(rows) and {r["component_id"] for r in near if r["doc_id"] == 2} == {1}
+
+
 def _library():
     return tokens._encoder(tokens.vocabulary_path(tokens.VOCABULARY))[0]
 
@@ -190,6 +199,8 @@ def test_benchmark_items(spark):
     hit = by[(1, 1)]
     assert dict(rows)[1][hit.start : hit.end] == rows[0][1][9 : 9 + len(hidden)] and hit.edits == 0
     assert 0 < by[(2, 2)].edits <= len(edited) // 25 + 1
+    left = decontam.without_hits(table(spark, rows), table(spark, items, "item_id long, text string"))
+    assert left.columns == table(spark, rows).columns and {r["doc_id"]: r["text"] for r in left.collect()} == {k: t for k, t in rows if k in (3, 4, 5, 6)}
     for empty in (decontam.benchmark_hits(table(spark, []), table(spark, items, "item_id long, text string")), decontam.benchmark_hits(table(spark, rows), table(spark, [], "item_id long, text string"))):
         assert empty.count() == 0
 

@@ -90,6 +90,15 @@ def test_main_text_of_pages_with_one_template(spark):
     assert all(found[100 + k] == found[0] for k in range(30))
 
 
+def test_pages_that_share_an_id(spark):
+    rows = page_rows()
+    rows = [*rows, rows[3], (3, "http://host.example.com/3", rows[4][2]), (None, None, rows[5][2]), (None, None, rows[5][2])]
+    found = wrapper.main_text(table(spark, rows, "page_id long, url string, html string")).collect()
+    texts = collections.Counter(r["text"][:7] for r in found if r["page_id"] == 3)
+    assert len(found) == len(rows) and texts == {"Head 3 ": 2, "Head 4 ": 1}
+    assert sum(r["page_id"] is None and r["text"].startswith("Head 5") for r in found) == 2
+
+
 def test_main_text_of_odd_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     rows = [
