@@ -25,8 +25,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the perplexity of trusted text of their language; null and empty ones go."""
-    judged = quality.judge(docs, trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _without(docs, judged.where("rejected"))
+    judged = quality.judge(docs, trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")), carry=tuple(COLUMNS))
+    return judged.where("NOT rejected").select("carried.*")
 
 
 def minhash_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,15 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratemill.llm import charlm
 from ratemill.llm.tables import written
 
-_COLUMNS = "doc_id long, lang string, bits double, symbols long"
-
-
-def _costs(docs: DataFrame, model: charlm.Model) -> DataFrame:
-    """doc_id, lang, bits in all (by the model of the row's language, or the kindest if it has none), symbols."""
+def _costs(docs: DataFrame, model: charlm.Model, carry: list[str]) -> DataFrame:
+    """The columns of `docs` named in `carry`, bits in all (by the model of the row's lang, or the kindest if it has none), symbols."""
 
     def result(part: pa.RecordBatch, total: np.ndarray, symbols: np.ndarray) -> list[pa.Array]:
         places = {x: k for k, x in enumerate(model.labels)}
@@ -23,14 +21,17 @@ def _costs(docs: DataFrame, model: charlm.Model) -> DataFrame:
             bits = np.where(own < 0, total.min(axis=1), total[np.arange(len(part)), own])
         else:
             bits = np.zeros(len(part))
-        return [part.column("doc_id"), part.column("lang"), pa.array(bits), pa.array(symbols)]
+        return [*(part.column(c) for c in carry), pa.array(bits), pa.array(symbols)]
 
-    return charlm.scored(docs, model, "visible", result, _COLUMNS, ["doc_id", "lang", "bits", "symbols"])
+    schema = T.StructType([docs.schema[c] for c in carry]).add("bits", "double").add("symbols", "long")
+    return charlm.scored(docs, model, "visible", result, schema, schema.names)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: float = 64.0) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: float = 64.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, perplexity, threshold, rejected of `docs` (doc_id, text, lang).
 
+    With `carry`, also a struct `carried` of these columns of the row: a filter then needs no join back to the texts.
+
     `trusted` (doc_id) names the texts to learn from: one model for each language, on whole texts. The perplexity of a
     symbol is shrunk to its language's trusted mean by `prior` symbols, so that short texts are not judged on chance.
     threshold is the perplexity within which `share` of the trusted texts of the language stay (of all trusted texts where
@@ -38,12 +39,14 @@ def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: floa
     perplexity null and are rejected; if nothing is trusted, nothing else is. Rows that repeat a doc_id are judged one by
     one; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"), *carried)
     # As many ids as there are trusted texts: they grow with the documents, so they are shuffled at every size, never broadcast.
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().hint("merge")
     learned = docs.join(trusted, "doc_id", "left_semi").where("text IS NOT NULL").select(F.col("lang").alias("label"), "text")
     model = charlm.fit(charlm.count(learned, "visible"), modified=True)
-    costs = written(_costs(docs, model))
+    kept = ["carried"] if carry else []
+    costs = written(_costs(docs, model, ["doc_id", "lang", *kept]))
 
     good = costs.join(trusted, "doc_id", "left_semi").where("symbols > 0")
     means = good.groupBy("lang").agg(F.sum("bits").alias("bits"), F.sum("symbols").alias("symbols")).collect()
@@ -57,6 +60,6 @@ def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: floa
     threshold = F.lit(limits.pop(None, None)).cast("double")
     for lang, top in limits.items():
         threshold = F.when(F.col("lang") == lang, top).otherwise(threshold)
-    out = costs.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), perplexity.alias("perplexity"), threshold.alias("threshold"))
+    out = costs.select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), perplexity.alias("perplexity"), threshold.alias("threshold"), *kept)
     rejected = F.col("perplexity").isNull() | F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))
     return out.withColumn("rejected", rejected)
