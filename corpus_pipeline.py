@@ -36,7 +36,7 @@ def minhash_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands, not even with a tenth of its characters edited."""
-    return _without(docs, decontam.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontam.without_hits(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,15 @@ def _scan(index: Index):
 
 
 def _hits(part: pa.RecordBatch, index: Index) -> pa.RecordBatch:
+    columns = list(zip(*_found(part, index), strict=True)) or [()] * 5
+    ids = np.asarray(part.column("doc_id"))[np.array(columns[0], np.int64)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "start", "end", "edits"]
+    )
+
+
+def _found(part: pa.RecordBatch, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """Row, item_id, start, end and edits of each find in a slice of texts."""
     data, offsets = words.text_bytes(part.column("text"))
     kept = _normal(data)
     text = words.LOWER[data[kept]]
@@ -158,11 +167,30 @@ def _hits(part: pa.RecordBatch, index: Index) -> pa.RecordBatch:
             first = int(points[: begin - offsets[doc_at]].sum())
             rows.append((doc_at, index.ids[n], first, int(points.sum()), found[0]))
             done = (p, d + k)
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    ids = np.asarray(part.column("doc_id"))[np.array(columns[0], np.int64)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "start", "end", "edits"]
-    )
+    return rows
+
+
+def _clean(index: Index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                keep = np.ones(len(part), bool)
+                keep[[r[0] for r in _found(part, index)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, rate: float) -> Iterator[Index]:
+    """The items in blocks of about BLOCK_BYTES, each small enough for every task."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        index = Index([(r["item_id"], r["text"]) for r in rows], rate)
+        if index.ids:
+            yield index
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
@@ -173,16 +201,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) ->
     and empty ones are never found. Overlapping finds of one item in one document count once. Rows that repeat an
     id are judged one by one; other columns are ignored. Items reach the tasks in blocks of bounded size.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id long, item_id long, start long, end long, edits long"
     out = docs.sparkSession.createDataFrame([], kind)
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = Index([(r["item_id"], r["text"]) for r in rows], rate)
-        if index.ids:
-            found = docs.mapInArrow(_scan(index), kind)
-            out = found if block == 0 else out.unionAll(found)
+    for index in _indexes(benchmark, rate):
+        out = out.unionAll(docs.mapInArrow(_scan(index), kind))
     return out
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
+    """The rows of `docs`, with all their columns, in which `benchmark_hits` finds no item; no shuffle, and no id needed."""
+    for index in _indexes(benchmark, rate):
+        docs = docs.mapInArrow(_clean(index), docs.schema)
+    return docs
