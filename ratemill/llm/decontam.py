@@ -114,9 +114,9 @@ def _scan(index: Index):
 
 def _hits(part: pa.RecordBatch, index: Index) -> pa.RecordBatch:
     columns = list(zip(*_found(part, index), strict=True)) or [()] * 5
-    ids = np.asarray(part.column("doc_id"))[np.array(columns[0], np.int64)]
+    ids = part.column("doc_id").take(pa.array(columns[0], pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "start", "end", "edits"]
+        [ids, *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "start", "end", "edits"]
     )
 
 

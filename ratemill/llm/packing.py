@@ -165,8 +165,8 @@ def _pieces(path: str, room: int, end: int):
                 raw = memoryview(ids.tobytes())
                 at = 4 * (bounds[owner] + start)
                 checks = [zlib.crc32(raw[s:e]) for s, e in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
-                doc = np.asarray(part.column("doc_id"))[owner]
-                columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks, pa.int64())]
+                doc = part.column("doc_id").take(pa.array(owner))
+                columns = [doc, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
