@@ -18,11 +18,6 @@ from ratemill.llm.tables import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` less the doc_ids of `gone`; rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the perplexity of trusted text of their language; null and empty ones go."""
     judged = quality.judge(docs, trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")), carry=tuple(COLUMNS))
@@ -30,8 +25,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies: five-word shingles, similarity 0.8."""
-    return _without(docs, near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept"))
+    """One row, that with the smallest id, of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows count one by one, whether their id is missing or stands twice; a row without an id is taken only if its whole
+    group has none. Rows without shingles stay.
+    """
+    keyed = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))  # written once, so that a row keeps its number
+    found = near_dup.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), shingle=5, percent=80).where("n_shingles > 0")
+    members = found.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select("row", "doc_id"), "row")
+    firsts = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("members"))
+    gone = members.join(firsts.where("members > 1"), "component_id").where(F.col("row") != F.col("first.row")).select("row")
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +44,18 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mask and n_chars counted anew."""
-    spans = secrets.find_secrets(docs).select("doc_id", F.concat("base", "linked").alias("spans")).where(F.size("spans") > 0)
-    joined = docs.join(spans.dropDuplicates(["doc_id"]), "doc_id", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    """All rows, their secrets replaced by a mask and n_chars counted anew; each row by its own spans.
+
+    Spans come back by a hash of id and text: rows that share it are equal in both, so their spans are equal too.
+    """
+    keyed = docs.withColumn("row", F.xxhash64(F.lit(1), "doc_id", F.lit(2), "text"))
+    spans = secrets.find_secrets(keyed.select(F.col("row").alias("doc_id"), "text"))
+    spans = spans.select(F.col("doc_id").alias("row"), F.concat("base", "linked").alias("spans")).where(F.size("spans") > 0)
+    joined = keyed.join(spans.dropDuplicates(["row"]), "row", "left")
+    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
+    joined = joined.withColumn("text", masked)
+    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")
+    return joined.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
