@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 from ratemill.llm import charlm
 from ratemill.llm.tables import written
 
-def _costs(docs: DataFrame, model: charlm.Model, carry: list[str]) -> DataFrame:
+def _costs(docs: DataFrame, model: charlm.Model | charlm.TableModel, carry: list[str]) -> DataFrame:
     """The columns of `docs` named in `carry`, bits in all (by the model of the row's lang, or the kindest if it has none), symbols."""
+    labels = model.labels
 
     def result(part: pa.RecordBatch, total: np.ndarray, symbols: np.ndarray) -> list[pa.Array]:
-        places = {x: k for k, x in enumerate(model.labels)}
-        if model.labels:
+        places = {x: k for k, x in enumerate(labels)}
+        if labels:
             own = np.array([places.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
             bits = np.where(own < 0, total.min(axis=1), total[np.arange(len(part)), own])
         else:
