@@ -2,8 +2,8 @@
 
 A page becomes a tree of block elements in which like siblings count as one. The trees of a host's pages are
 aligned with its commonest tree by simple tree matching, and the texts at each aligned place are compared over all its
-pages: places with constant text are template, places whose text varies are slots. The container of the slots with most
-text holds the article; parts that their element or class marks as menus, adverts and the like are left out.
+pages: places with constant text are template, places whose text varies are slots. All slots of a page are its article,
+or those in the article or main element around the longest one; parts that their element or class marks as menus, adverts and the like are left out.
 """
 
 from __future__ import annotations
@@ -220,11 +220,12 @@ def _tuple(x: list) -> tuple:
     return (x[0], tuple(map(_tuple, x[1])))
 
 
-def decide(tree: str, stats: list[tuple[int, int]], places: list[int], constant: set[int]) -> tuple[int, list[int]]:
+def decide(tree: str, stats: list[tuple[int, int]], places: list[int], constant: set[int], induced: bool = False) -> tuple[int, list[int]]:
     """The number of the article's container in a tree, and those of its template places.
 
     `stats`: for each place, the pages with text there and the length of all texts; `places`: its place in the host's
-    commonest tree, or -1; `constant`: the constant places of that tree.
+    commonest tree, or a negative number; `constant`: the constant places; `induced`: whether the host has pages enough to tell
+    slots from template. If it has, all its slots are content, so the container is the whole page.
     """
     labels, parents = [], []
 
@@ -240,7 +241,7 @@ def decide(tree: str, stats: list[tuple[int, int]], places: list[int], constant:
     mean = [size / n if n and place not in constant else 0 for (n, size), place in zip(stats, places, strict=True)]
     slot = max(open_, key=lambda i: (mean[i], -i))
     box = parents[slot] if parents[slot] >= 0 else slot
-    above = box
+    above, box = box, 0 if induced else box
     while above >= 0:  # an element that says it is the article holds all of it
         if labels[above].split(".")[0] in ("article", "main"):
             box = above
@@ -270,16 +271,19 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = _tuple(json.loads(tree)), _tuple(json.loads(model))
             found = align(a, b)
             maps.append([found.get(i, -1) for i in range(_size(a))])
-        kept = ["host", "tree_hash", "tree", "stats"]
+        kept = ["host", "tree_hash", "tree", "stats", "pages"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(maps, pa.list_(pa.int32()))], [*kept, "places"])
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for tree, stats, places, constant in zip(*(batch.column(c).to_pylist() for c in ("tree", "stats", "places", "constant")), strict=True):
-            ordered = [(s["n"], s["size"]) for s in sorted(stats, key=lambda s: s["place"])]
-            rows.append(decide(tree, ordered, places, set(constant or ())))
+        for tree, stats, places, constant, pages in zip(*(batch.column(c).to_pylist() for c in ("tree", "stats", "places", "constant", "pages")), strict=True):
+            stats.sort(key=lambda s: s["place"])
+            # Places that the commonest tree lacks are judged by the pages of their own tree.
+            places = [p if p >= 0 else -2 - k for k, p in enumerate(places)]
+            own = {p for p, s in zip(places, stats, strict=True) if p < 0 and s["n"] >= PAGES and s["top"] >= SAME * s["n"]}
+            rows.append(decide(tree, [(s["n"], s["size"]) for s in stats], places, set(constant or ()) | own, pages >= PAGES))
         boxes, template = pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("tree_hash"), boxes, template], ["host", "tree_hash", "box", "template"])
 
@@ -319,10 +323,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     )
     trees = stats.groupBy("host", "tree_hash").agg(F.first("tree").alias("tree"), F.max("n").alias("pages"), F.collect_list(F.struct("place", "n", "top", "hash", "size")).alias("stats"))
     trees = written(trees)
-    models = trees.groupBy("host").agg(F.max_by("tree", F.struct("pages", "tree")).alias("model"))
+    models = trees.groupBy("host").agg(F.max_by("tree", F.struct("pages", "tree")).alias("model"), F.sum("pages").alias("pages"))
     joined = trees.drop("pages").join(models, "host")
     measured = "array<struct<place: int, n: long, top: long, hash: long, size: long>>"
-    aligned = written(joined.mapInArrow(_aligned, f"host string, tree_hash long, tree string, stats {measured}, places array<int>"))
+    aligned = written(joined.mapInArrow(_aligned, f"host string, tree_hash long, tree string, stats {measured}, pages long, places array<int>"))
     met = aligned.select("host", "places", F.explode("stats").alias("s")).select("host", F.element_at("places", F.col("s.place") + 1).alias("place"), "s.n", "s.top", "s.hash")
     common = met.where("place >= 0").groupBy("host", "place", "hash").agg(F.sum("n").alias("n"), F.sum("top").alias("top"))
     common = common.groupBy("host", "place").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where((F.col("n") >= PAGES) & (F.col("top") >= SAME * F.col("n")))
