@@ -41,19 +41,41 @@ _LEFT_OUT_MARKS = set(
     "login menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar "
     "social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Before a mark word, or after it at the end of a name, these say that the name tells of a state, not of such a part.
+_STATES = set("allowed available closed disabled enabled free hidden hide less no non not off on open out show shown toggled visible has with without".split())
+#: Blocks of running text, for which only a whole name is a mark (`ad`, not `social-history`).
+_TEXT = set("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre td th".split())
 _HEADER_MARKS = {"header", "masthead", "topbar"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "main", "body"}
 
 
 class Element:
-    __slots__ = ("tag", "label", "items", "out")
+    __slots__ = ("tag", "label", "items", "out", "marked")
 
-    def __init__(self, tag: str, label: str, out: bool) -> None:
-        self.tag, self.label, self.out = tag, label, out
+    def __init__(self, tag: str, label: str, out: bool, marked: bool = False) -> None:
+        self.tag, self.label, self.out, self.marked = tag, label, out, marked
         self.items: list[str | Element] = []
 
 
+def _marks(name: str, tag: str) -> bool:
+    """Whether a class, id or role says that an element of this tag is no part of an article."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if len(parts) > 1 and (tag in _TEXT or not _STATES.isdisjoint(parts)):
+        return False
+    return not _LEFT_OUT_MARKS.isdisjoint(parts)
+
+
+def _settle(element: Element) -> set[str]:
+    """Leaves out marked elements, unless they hold an article or main, or an h1 and paragraphs: those of the tags in it."""
+    held = {element.tag} & {"article", "main", "h1", "p"}
+    for item in element.items:
+        if isinstance(item, Element) and not item.out:
+            held |= _settle(item)
+    element.out = element.marked and not held & {"article", "main"} and not {"h1", "p"} <= held
+    return set() if element.out else held
+
+
 def parse(text: str) -> Element:
     """The tree of block elements of a page; inline elements are part of their block's text."""
     root = Element("", "", False)
@@ -93,18 +115,18 @@ def parse(text: str) -> Element:
                     break
                 if stack[depth].tag in _SCOPE:
                     break
-            words = set()
-            if "=" in attributes:
-                words = {w for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w}
+            names = [n for m in _MARK.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in attributes else []
+            words = {w for n in names for w in re.split(r"[^a-z0-9]+", n) if w}
             inside = any(e.tag in ("article", "main") for e in stack)
             header = not inside and (tag == "header" or not words.isdisjoint(_HEADER_MARKS))
             top = tag in ("html", "body", "article", "main")
-            out = stack[-1].out or tag in _LEFT_OUT or (not top and not words.isdisjoint(_LEFT_OUT_MARKS)) or (header and not top)
-            element = Element(tag, tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit()), out)
+            out = stack[-1].out or tag in _LEFT_OUT or (header and not top)
+            element = Element(tag, tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit()), out, not top and any(_marks(n, tag) for n in names))
             stack[-1].items.append(element)
             stack.append(element)
         elif tag in ("br", "hr"):
             stack[-1].items.append(" ")
+    _settle(root)
     return root
 
 
