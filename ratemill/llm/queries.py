@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, quality, secrets, substring_dup, tokens, wrapper
+from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, quality, reply_trees, secrets, substring_dup, tokens, wrapper
+from ratemill.plans.skew import next_in_large_group
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +67,32 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), room=1024)
 
 
+#: The conversation that op12 formats beside those of the table.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation is a tree with one branch: a turn answers the one before it. A null turn counts as the smallest number."""
+    rows = _table(spark, folder, "conversations").select("conv_id", F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    rows = rows.unionByName(probe)
+    links = rows.select("conv_id", "turn").distinct().withColumn("down", F.bitwise_not("turn")).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    links = next_in_large_group(links, "key", "down", "turn", "parent").select(F.col("conv_id").alias("tree"), F.col("turn").alias("message"), "parent")
+    messages = rows.select(F.col("conv_id").alias("tree"), F.col("turn").alias("message"), "role", "text")
+    found = reply_trees.conversations(messages, links=links.withColumn("score", F.lit(0.0)))
+    turns, learned = reply_trees.read_turns(F.col("formatted")), reply_trees.read_learned(F.col("formatted"))
+    found = found.select("tree", "formatted", turns.alias("turns"), learned.alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        F.get_json_object("tree", "$.k").cast("long").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
     "op2_html_extraction": op2_html_extraction,
@@ -77,6 +104,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_chat_formatting": op12_chat_formatting,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op12_chat_formatting": r"""
+        WITH spoken AS (
+            SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               sum(17 + length(url_encode(role))
+                   + length(regexp_replace(text, '([<\[])(\\*)(\|\w+\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+        FROM spoken GROUP BY conv_id""",
+}
