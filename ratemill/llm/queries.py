@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, quality, reply_trees, secrets, substring_dup, tokens, wrapper
+from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, quality, reply_trees, secrets, substring_dup, tokens, whitening, wrapper
 from ratemill.plans.skew import next_in_large_group
 
 
@@ -93,6 +93,10 @@ def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
     "op2_html_extraction": op2_html_extraction,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_chat_formatting": op12_chat_formatting,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {
