@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, quality, reply_trees, secrets, substring_dup, tokens, whitening, wrapper
+from ratemill.llm import decontam, embed_dup, langid, near_dup, packing, periodic, quality, reply_trees, secrets, substring_dup, tokens, whitening, wrapper
 from ratemill.plans.skew import next_in_large_group
 
 
@@ -67,6 +67,24 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), room=1024)
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_repeated_tails(_table(spark, folder, "documents")), least=24, exponent=3)
+    # Of equal exponents the first in the list stays: by start, then period.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 #: The conversation that op12 formats beside those of the table.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -108,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_chat_formatting": op12_chat_formatting,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
