@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ratemill import schemas
 from ratemill.operators.events import aggregate_events, decode_events, encode_events
+from ratemill.sources import versions
 from ratemill.sources.deltas import stream_batch, write_delta
 
 TOPIC = "user-events"
@@ -98,7 +99,8 @@ def start_processed_upsert(
 ) -> StreamingQuery:
     """Keep counts per (user, product, type) current: each micro-batch adds its own delta.
 
-    A micro-batch that is repeated after a failure overwrites its delta, so counts stay exact. `name` stands for the
+    A micro-batch that is repeated after a failure replaces its delta, or is left alone if that has been folded, so counts
+    stay exact. `name` stands for the
     checkpoint folder: a stream that starts with a new one needs a new name, and starting it with a used name is
     refused, as its numbers would begin again over the old deltas. Read the table with deltas.processed_events.
     """
@@ -121,11 +123,10 @@ def start_user_features(
 
 
 def _own_name(spark: SparkSession, path: str, checkpoint: str, name: str) -> None:
-    """Refuse a new checkpoint under a name that has deltas already."""
-    files = spark._jvm.org.apache.hadoop.fs
-    begun, first = files.Path(f"{checkpoint}/offsets"), files.Path(f"{path}/batch_id={stream_batch(name, 0)}")
-    settings = spark._jsc.hadoopConfiguration()
-    if first.getFileSystem(settings).exists(first) and not begun.getFileSystem(settings).exists(begun):
+    """Refuse a new checkpoint under a name that has deltas already, folded ones too."""
+    begun = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    used = versions.load(spark, path).covered(f"stream {name}")
+    if used and not begun.getFileSystem(spark._jsc.hadoopConfiguration()).exists(begun):
         raise ValueError(f"{path} holds deltas of a stream named {name}; a new checkpoint needs another name")
 
 
