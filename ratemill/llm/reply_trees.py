@@ -49,27 +49,31 @@ def _links(messages: DataFrame) -> DataFrame:
     return one.join(there, ["tree", "parent"], "left").select("tree", "message", "up", "score")
 
 
-def _climbed(links: DataFrame) -> list[DataFrame]:
-    """Tables (tree, message, up, depth, total): step k reaches 2^k messages up; on the last one roots are reached.
+def _climbed(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, message, up, depth, total) of the messages that reach 2^k messages up, for each step k; and one of all
+    messages that reach a root, with their depth and total from there on.
 
-    `depth` and `total` cover the messages from this one up to `up`, which is not included. The tables end when no message
-    is left below a root's reach, or when a step leaves as many as before: those stand on or below a circle.
+    `depth` and `total` cover the messages from this one up to `up`, which is not included. Only messages without a root yet
+    take part in a step. Steps end when there are none, or as many as before: those stand on or below a circle.
     """
-    steps = [written(links.select("tree", "message", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))]
-    before, left = -1, steps[0].where("up IS NOT NULL").count()
+    table = written(links.select("tree", "message", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
+    steps, rooted = [], table.where("up IS NULL")
+    before, left = -1, table.where("up IS NOT NULL").count()
     while left not in (0, before):
-        here = steps[-1].alias("x")
-        above = steps[-1].select("tree", F.col("message").alias("up"), F.struct(F.col("up").alias("up"), "depth", "total").alias("more"))
-        further = here.join(above, ["tree", "up"], "left").select(
+        climbing = table.where("up IS NOT NULL")
+        steps.append(climbing)
+        above = climbing.unionAll(rooted).select("tree", F.col("message").alias("up"), F.struct(F.col("up").alias("up"), "depth", "total").alias("more"))
+        further = climbing.join(above, ["tree", "up"]).select(
             "tree",
             "message",
             F.col("more.up").alias("up"),
-            (F.col("depth") + F.coalesce(F.col("more.depth"), F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce(F.col("more.total"), F.lit(0.0))).alias("total"),
+            (F.col("depth") + F.col("more.depth")).alias("depth"),
+            (F.col("total") + F.col("more.total")).alias("total"),
         )
-        steps.append(written(further))
-        before, left = left, steps[-1].where("up IS NOT NULL").count()
-    return steps
+        table = written(further)
+        rooted = rooted.unionAll(table.where("up IS NULL"))
+        before, left = left, table.where("up IS NOT NULL").count()
+    return steps, rooted
 
 
 def reply_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
@@ -83,17 +87,17 @@ def reply_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     and message are one message: its parent is the smallest, its score the largest. Messages on or below a circle of
     answers have no root and stand on no branch. Other columns are left aside.
     """
-    links = _links(messages)
-    steps = _climbed(links)
-    reached = steps[-1].where("up IS NULL")
-    leaves = reached.join(steps[0].where("up IS NOT NULL").select("tree", F.col("up").alias("message")).distinct(), ["tree", "message"], "left_anti")
+    steps, rooted = _climbed(_links(messages))
+    leaves = rooted
+    if steps:
+        leaves = rooted.join(steps[0].select("tree", F.col("up").alias("message")).distinct(), ["tree", "message"], "left_anti")
     leaves = leaves.select("tree", F.col("message").alias("leaf"), "depth", "total", F.struct((-F.col("total")).alias("a"), F.col("message").alias("b")).alias("by"), F.lit(1).cast("long").alias("one"))
     ranked = total_before_in_large_group(leaves, "tree", "by", "one", "rank").withColumn("rank", F.col("rank") + 1)
     if keep is not None:
         ranked = ranked.where(F.col("rank") <= keep)
     paths = ranked.select("tree", "leaf", "rank", F.col("total").alias("path_score"), F.col("leaf").alias("message"), (F.col("depth") - 1).alias("position"))
-    for k in reversed(range(len(steps) - 1)):
-        ups = steps[k].where("up IS NOT NULL").select("tree", "message", "up")
+    for k in reversed(range(len(steps))):
+        ups = steps[k].select("tree", "message", "up")
         stay = F.struct(F.col("message").alias("message"), F.col("position").alias("position"))
         climb = F.struct(F.col("up").alias("message"), (F.col("position") - F.lit(1 << k)).alias("position"))
         both = F.explode(F.when(F.col("up").isNull(), F.array(stay)).otherwise(F.array(stay, climb))).alias("at")
