@@ -81,38 +81,50 @@ def processed_events_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return events.merge_processed(existing, events.aggregate_events(events.trailing(clicks, AS_OF, 48)))
 
 
+_COUNTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _term_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Term counts of the text reviews: one stored table per application and corpus, from which all queries on texts start."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _COUNTED:
+        _COUNTED[key] = content.term_counts(content.term_rows(adapters.text_reviews(spark, folder)))
+    return _COUNTED[key]
+
+
 def tfidf_vocab(spark: SparkSession, folder: str) -> DataFrame:
     reviews = adapters.text_reviews(spark, folder)
-    counts = content.term_counts(content.term_rows(reviews))
+    counts = _term_counts(spark, folder)
     kept = content.vocabulary(counts, content.product_count(reviews))
     return kept.withColumn("idf", F.round("idf", 6))
 
 
 def tfidf_terms(spark: SparkSession, folder: str) -> DataFrame:
-    weights = content.tfidf_of(adapters.text_reviews(spark, folder))
+    weights = content.tfidf_of(adapters.text_reviews(spark, folder), counts=_term_counts(spark, folder))
     return weights.withColumn("weight", F.round("weight", 6))
 
 
 def product_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """The part of the cosine matrix that is ever used: the 20 nearest of every product."""
-    near = content.content_neighbours(adapters.text_reviews(spark, folder))
+    near = content.content_neighbours(adapters.text_reviews(spark, folder), counts=_term_counts(spark, folder))
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
 def similar_products(spark: SparkSession, folder: str) -> DataFrame:
     reviews = adapters.text_reviews(spark, folder)
-    near = content.content_neighbours(reviews, 10)
+    near = content.content_neighbours(reviews, 10, counts=_term_counts(spark, folder))
     return content.similar_products(near, features.product_stats(reviews))
 
 
-def _content_scores(reviews: DataFrame) -> DataFrame:
+def _content_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Content scores; only products that somebody liked are asked for their neighbours."""
-    seeds = history.liked_seed(reviews)
-    return hybrid.content_scores(reviews, content.content_neighbours(reviews, asked=seeds))
+    reviews = adapters.text_reviews(spark, folder)
+    near = content.content_neighbours(reviews, asked=history.liked_seed(reviews), counts=_term_counts(spark, folder))
+    return hybrid.content_scores(reviews, near)
 
 
 def cb_scores(spark: SparkSession, folder: str) -> DataFrame:
-    scores = _content_scores(adapters.text_reviews(spark, folder))
+    scores = _content_scores(spark, folder)
     return scores.withColumn("cb_score", F.round("cb_score", 6))
 
 
@@ -166,7 +178,7 @@ def reviews_of_user(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_topn_baseline(spark: SparkSession, folder: str) -> DataFrame:
     reviews = adapters.text_reviews(spark, folder)
-    return hybrid.recommend(reviews, factors.fit_biases(_train(spark, folder)), _content_scores(reviews))
+    return hybrid.recommend(reviews, factors.fit_biases(_train(spark, folder)), _content_scores(spark, folder))
 
 
 def recommend_routed(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,7 +187,7 @@ def recommend_routed(spark: SparkSession, folder: str) -> DataFrame:
         reviews,
         factors.fit_biases(_train(spark, folder)),
         adapters.customers(spark, folder),
-        _content_scores(reviews),
+        _content_scores(spark, folder),
         min_reviews=FIXTURE_SUPPORT,
     )
 
