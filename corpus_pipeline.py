@@ -46,12 +46,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their secrets replaced by a mask and n_chars counted anew; each row by its own spans.
 
-    Spans come back by a hash of id and text: rows that share it are equal in both, so their spans are equal too.
+    Spans come back by two hashes of id and text: rows that share them are equal in both, so their spans are equal too.
     """
-    keyed = docs.withColumn("row", F.xxhash64(F.lit(1), "doc_id", F.lit(2), "text"))
-    spans = secrets.find_secrets(keyed.select(F.col("row").alias("doc_id"), "text"))
-    spans = spans.select(F.col("doc_id").alias("row"), F.concat("base", "linked").alias("spans")).where(F.size("spans") > 0)
-    joined = keyed.join(spans.dropDuplicates(["row"]), "row", "left")
+    spans = secrets.find_secrets(docs).select(*secrets.KEY, F.concat("base", "linked").alias("spans")).where(F.size("spans") > 0)
+    joined = docs.select(*COLUMNS, *secrets.row_keys("doc_id", "text")).join(spans.dropDuplicates(secrets.KEY), secrets.KEY, "left")
     masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
     joined = joined.withColumn("text", masked)
     n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")
