@@ -9,9 +9,7 @@ known and is not counted again.
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime
 
@@ -64,7 +62,7 @@ def _check(now: Version, batch_id: str) -> None:
                 raise ValueError(f"batch {batch_id} overlaps {kind} {shared}")
 
 
-def write_delta(rows: DataFrame, path: str, batch_id: str, state: Callable[[dict], dict] | None = None) -> bool:
+def write_delta(rows: DataFrame, path: str, batch_id: str, by: tuple[str, ...] = ()) -> bool:
     """Make a batch's rows its delta; a repeated batch replaces its own delta and no other.
 
     A batch that has been folded already is counted: it is left as it is, and the answer is False. One that overlaps others is refused.
@@ -74,14 +72,14 @@ def write_delta(rows: DataFrame, path: str, batch_id: str, state: Callable[[dict
     if _is_folded(now, batch_id):
         return False
     _check(now, batch_id)
-    part = versions.write_part(rows, path, batch_id, covers_of(batch_id))
+    part = versions.write_part(rows, path, batch_id, covers_of(batch_id), by=by)
 
     def add(now: Version) -> Version | None:
         if _is_folded(now, batch_id):
             return None
         _check(now, batch_id)
         others = tuple(p for p in now.parts if p.batch_id != batch_id)
-        return replace(now, schema=now.schema or rows.schema.json(), parts=(*others, part), state=state(now.state) if state else now.state)
+        return replace(now, schema=now.schema or rows.schema.json(), parts=(*others, part))
 
     return any(p.folder == part.folder for p in versions.commit(spark, path, add).parts)
 
@@ -143,29 +141,29 @@ def user_event_features(deltas: DataFrame) -> DataFrame:
     )
 
 
-def _folded(spark: SparkSession, path: str, now: Version, old: list[Part], fold, into: str, up_to: str) -> Part:
+def _folded(spark: SparkSession, path: str, now: Version, old: list[Part], fold, into: str, up_to: str, by: tuple[str, ...] = ()) -> Part:
     kept = versions.read(spark, path, replace(now, parts=tuple(old)))
     rows = fold(kept).select(*[c for c in kept.columns if c != "batch_id"])
     covers: dict[str, Ranges] = {}
     for p in old:
         for kind, ranges in p.covers.items():
             covers[kind] = versions.united([*covers.get(kind, []), *ranges])
-    return versions.write_part(rows, into, up_to, covers, folded=True)
+    return versions.write_part(rows, into, up_to, covers, True, by)
 
 
-def fold_up_to(spark: SparkSession, path: str, fold, up_to: str) -> bool:
+def fold_up_to(spark: SparkSession, path: str, fold, up_to: str, by: tuple[str, ...] = ()) -> bool:
     """Make one part of all batches up to `up_to`, in a new version; False if there is none.
 
     `fold` is processed_events, or another aggregation that keeps the delta's columns. Deltas that are added meanwhile stay; if
     one of the folded batches is replaced meanwhile, the fold is made again. Readers of earlier versions keep their files until
-    versions.vacuum().
+    versions.vacuum(). `by` makes folders within the part, as the batches have them.
     """
     while True:
         now = versions.load(spark, path)
         old = [p for p in now.parts if p.batch_id <= up_to]
         if not old:
             return False
-        part = _folded(spark, path, now, old, fold, path, up_to)
+        part = _folded(spark, path, now, old, fold, path, up_to, by)
 
         def swap(latest: Version) -> Version | None:
             if not {p.folder for p in old} <= {p.folder for p in latest.parts}:  # noqa: B023
@@ -198,8 +196,3 @@ def compact(deltas: DataFrame, fold, up_to: str, path: str) -> None:
 def next_number(spark: SparkSession, path: str) -> int:
     """The number that the next row of a numbered table gets."""
     return versions.load(spark, path).state.get("next_number", 1)
-
-
-def schema_of(spark: SparkSession, path: str) -> StructType | None:
-    text = versions.load(spark, path).schema
-    return StructType.fromJson(json.loads(text)) if text else None
