@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratemill.llm import charlm
 from ratemill.llm.tables import written
 
+
+def held_out(doc_id: Column) -> Column:
+    """One trusted text in five, by its id; a missing id is learned from."""
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(5)) == 0, F.lit(False)) & doc_id.isNotNull()
+
+
 def _costs(docs: DataFrame, model: charlm.Model | charlm.TableModel, carry: list[str]) -> DataFrame:
     """The columns of `docs` named in `carry`, bits in all (by the model of the row's lang, or the kindest if it has none), symbols."""
     labels = model.labels
@@ -33,10 +39,12 @@ def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: floa
 
     With `carry`, also a struct `carried` of these columns of the row: a filter then needs no join back to the texts.
 
-    `trusted` (doc_id) names the texts to learn from: one model for each language, on whole texts. The perplexity of a
-    symbol is shrunk to its language's trusted mean by `prior` symbols, so that short texts are not judged on chance.
-    threshold is the perplexity within which `share` of the trusted texts of the language stay (of all trusted texts where
-    the language is null or has none); texts above it are rejected. Null and empty texts and texts of blanks have
+    `trusted` (doc_id) names good texts. Four in five of them, by id, are learned from: one model for each language, on whole
+    texts; the fifth are held out and set the thresholds, as a text that was learned from looks better than it is. The perplexity
+    of a symbol is shrunk to its language's mean over held-out texts by `prior` symbols, so that short texts are not judged on chance.
+    threshold is the perplexity within which `share` of the held-out texts of the language stay, and of all its good texts, where few
+    are held out (over all languages where the language is null or has none); texts above it are rejected. A missing lang and
+    an empty one are the same. Null and empty texts and texts of blanks have
     perplexity null and are rejected; if nothing is trusted, nothing else is. Rows that repeat a doc_id are judged one by
     one; other columns are ignored.
     """
@@ -44,19 +52,23 @@ def judge(docs: DataFrame, trusted: DataFrame, share: float = 0.999, prior: floa
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"), *carried)
     # As many ids as there are trusted texts: they grow with the documents, so they are shuffled at every size, never broadcast.
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().hint("merge")
-    learned = docs.join(trusted, "doc_id", "left_semi").where("text IS NOT NULL").select(F.col("lang").alias("label"), "text")
+    learned = docs.join(trusted.where(~held_out(F.col("doc_id"))), "doc_id", "left_semi").where("text IS NOT NULL").select(F.col("lang").alias("label"), "text")
     model = charlm.fit(charlm.count(learned, "visible"), modified=True)
     kept = ["carried"] if carry else []
     costs = written(_costs(docs, model, ["doc_id", "lang", *kept]))
 
     good = costs.join(trusted, "doc_id", "left_semi").where("symbols > 0")
-    means = good.groupBy("lang").agg(F.sum("bits").alias("bits"), F.sum("symbols").alias("symbols")).collect()
+    good = good.withColumn("held", held_out(F.col("doc_id")))
+    every = good.groupBy("lang", "held").agg(F.sum("bits").alias("bits"), F.sum("symbols").alias("symbols")).collect()
+    means = [r for r in every if r["held"]] or every
     overall = sum(r["bits"] for r in means) / max(1, sum(r["symbols"] for r in means))
     mean = F.lit(overall)
     for r in means:
         mean = F.when(F.col("lang") == r["lang"], r["bits"] / r["symbols"]).otherwise(mean)
     perplexity = F.when(F.col("symbols") > 0, F.pow(F.lit(2.0), (F.col("bits") + mean * prior) / (F.col("symbols") + prior)))
-    tops = good.withColumn("perplexity", perplexity).rollup("lang").agg(F.percentile_approx("perplexity", share, 10_000).alias("top")).collect()
+    within = lambda value: F.percentile_approx(value, share, 10_000)
+    tops = good.withColumn("perplexity", perplexity).rollup("lang")
+    tops = tops.agg(F.greatest(within(F.when(F.col("held"), F.col("perplexity"))), within(F.col("perplexity"))).alias("top")).collect()
     limits = {r["lang"]: r["top"] for r in tops}
     threshold = F.lit(limits.pop(None, None)).cast("double")
     for lang, top in limits.items():
