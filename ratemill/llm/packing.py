@@ -86,15 +86,47 @@ def fillings(counts: np.ndarray, room: int, most: int, spare: int) -> list[Patte
     return out or [()]
 
 
-def plan(histogram: dict[int, int], room: int, nodes: int = 5_000, branches: int = 3) -> list[tuple[Pattern, int]]:
+def plan(histogram: dict[int, int], room: int, nodes: int = 2_000, widths: tuple[int, ...] = (1, 3, 12, 50)) -> list[tuple[Pattern, int]]:
     """(pattern, times) that use up the histogram in as few sequences as the search finds.
 
-    It ends at the lower bound or after `nodes` completions; then the best packing so far stands.
+    Searches follow each other, each with more fillings per node than the one before, until the lower bound is met; the last one
+    has no limit but its nodes. Each starts from the best packing so far and ends after `nodes` completions, the last after five times as
+    many. The first searches look deep with few fillings, the last ones wide.
     """
     histogram = {k: v for k, v in histogram.items() if v}
-    total = sum(k * v for k, v in histogram.items())
-    bound = max(-(-total // room), sum(v for k, v in histogram.items() if 2 * k > room))
+    bound = lower_bound(histogram, room)
     best = best_fit(histogram, room)
+    for branches, budget in [*((w, nodes) for w in widths), (1 << 30, 5 * nodes)]:
+        if sum(n for _, n in best) == bound:
+            break
+        best = _search(histogram, room, best, bound, budget, branches)
+    return best
+
+
+def lower_bound(histogram: dict[int, int], room: int) -> int:
+    """No packing has fewer sequences (Martello and Toth's bound, from every threshold).
+
+    Pieces over half a sequence stand in one each; beside those over room - t no piece of t or more fits, so pieces from t to half
+    a sequence have to fit beside the others or into further sequences.
+    """
+    counts = np.zeros(room + 1, np.int64)
+    for k, v in histogram.items():
+        counts[k] = v
+    number = np.concatenate(([0], np.cumsum(counts)))  # pieces shorter than k
+    tokens = np.concatenate(([0], np.cumsum(counts * np.arange(room + 1))))
+    half = room // 2 + 1
+    best = 0
+    for t in range(1, half + 1):
+        large = int(number[room + 1] - number[half])
+        beside = int(number[room - t + 1] - number[half]) if room - t + 1 > half else 0
+        spare = beside * room - int(tokens[room - t + 1] - tokens[half]) if beside else 0
+        small = int(tokens[half] - tokens[t])
+        best = max(best, large + max(0, -(-(small - spare) // room)))
+    return best
+
+
+def _search(histogram: dict[int, int], room: int, best: list[tuple[Pattern, int]], bound: int, nodes: int, branches: int) -> list[tuple[Pattern, int]]:
+    total = sum(k * v for k, v in histogram.items())
     fewest = sum(n for _, n in best)
     counts = np.zeros(room + 1, np.int64)
     for k, v in histogram.items():
