@@ -376,3 +376,18 @@ UNION ALL
 SELECT user_id, popular.*, 'popularity_fallback' AS response_source
 FROM (SELECT user_id FROM asked WHERE user_id NOT IN (SELECT user_id FROM reviews)), popular""",
 }
+ORACLE |= {
+    "processed_events_table": CLICKS + """ SELECT user_id, product_id, event_type, count(*) AS event_count, max(created_at) AS last_seen
+FROM clicks GROUP BY user_id, product_id, event_type""",
+    "popular_incremental": ORACLE["popular_by_events"],
+    "events_numbered": CLICKS + """ SELECT count(*) AS events, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS ids,
+  count(*) AS distinct_events FROM clicks""",
+    "trailing_event_counts": CLICKS + """,
+moments AS (
+  SELECT unnest(generate_series(date_trunc('hour', min(created_at)), date_trunc('hour', max(created_at)) + INTERVAL 25 HOURS, INTERVAL 1 HOUR)) AS as_of
+  FROM clicks
+)
+SELECT as_of, count(*) AS event_count FROM moments JOIN clicks ON created_at >= as_of - INTERVAL 24 HOURS AND created_at <= as_of GROUP BY as_of""",
+    "reviews_from_csv": ORACLE["reviews_ingest"],
+    "recommend_refreshed": ORACLE["cf_topn_baseline"],
+}

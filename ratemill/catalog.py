@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ratemill.operators import cleaning, content, events, experiments, factors, features, history, hybrid, popularity, profile
-from ratemill.session import stored
-from ratemill.sources import adapters
+from ratemill.operators import cleaning, content, events, experiments, factors, features, history, hybrid, popularity, profile, refresh
+from ratemill.session import own_folder, stored
+from ratemill.sources import adapters, deltas, sinks
 from ratemill.sources.adapters import AS_OF
+from ratemill.sources.split_csv import read_csv_in_splits
+from ratemill.streaming import numbered, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY_BEFORE = "2024-01-30 00:00:00"
@@ -192,6 +196,70 @@ def recommend_routed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Bounds of the windows in which the kept tables take in the events, a week each; every given event lies between them.
+WEEKS = [datetime(2023, 12, 31) + timedelta(days=7 * k) for k in range(7)]
+
+
+def _weekly(clicks: DataFrame) -> list[DataFrame]:
+    return [events.between(clicks, low, high) for low, high in zip(WEEKS, WEEKS[1:])]
+
+
+def processed_events_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of all events out of a versioned table: weekly windows, a fold of the first ones, and runs of folded and other weeks again."""
+    clicks, path = adapters.clickstream(spark, folder), own_folder(spark, "processed")
+    for low, high in zip(WEEKS, WEEKS[1:]):
+        deltas.merge_window(clicks, low, high, path)
+    third = sorted(deltas.windows(spark, path))[2]
+    deltas.fold_up_to(spark, path, deltas.processed_events, f"{third[0]:012d}_{third[1]:012d}")
+    for k in (0, 2, 4):
+        deltas.merge_window(clicks, WEEKS[k], WEEKS[k + 1], path)
+    return deltas.processed_events(deltas.read_deltas(spark, path))
+
+
+def popular_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The most popular products out of weekly counts, the first three weeks folded."""
+    path = own_folder(spark, "popular")
+    for k, week in enumerate(_weekly(adapters.clickstream(spark, folder))):
+        numbered.add_popular(week, path, deltas.stream_batch("weeks", k))
+    numbered.fold_popular(spark, path, deltas.stream_batch("weeks", 2))
+    return numbered.popular_now(spark, path, AS_OF)
+
+
+def events_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """What the surrogate ids of all events are like, after every week has been added twice."""
+    path = own_folder(spark, "numbered")
+    for _ in range(2):
+        for k, week in enumerate(_weekly(adapters.clickstream(spark, folder).withColumnRenamed("id", "event_id"))):
+            numbered.append_numbered(week, path, deltas.stream_batch("weeks", k))
+    ids = numbered.read_numbered(spark, path)
+    return ids.agg(F.count(F.lit(1)).alias("events"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("id").alias("ids"), F.countDistinct("event_id").alias("distinct_events"))
+
+
+def trailing_event_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """At every full hour the events of the 24 hours up to then."""
+    return windows.trailing_counts(adapters.clickstream(spark, folder).select("created_at"))
+
+
+def reviews_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw reviews by way of CSV files, which are read in splits."""
+    path = own_folder(spark, "dump")
+    names = {name: name for name in cleaning.REVIEW_COLUMNS}
+    rows = adapters.raw_dump(spark, folder).select(*names)
+    sinks.write_csv(rows, path)
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return cleaning.ingest(read_csv_in_splits(spark, path, text), names)
+
+
+def recommend_refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """The rating-only list out of that of earlier reviews: only users whom later reviews touch are scored again."""
+    reviews, model = adapters.text_reviews(spark, folder), factors.fit_biases(_train(spark, folder))
+    later = F.col("ord") % 50 == 0
+    old, new = reviews.where(~later), reviews.where(later)
+    weights = {"cf_weight": 1.0, "cb_weight": 0.0}
+    stale = stored(hybrid.recommend(old, model, **weights))
+    return refresh.refreshed(stale, old, new, model, **weights).select("user_id", "rank", "product_id", F.col("cf_score").alias("prediction"))
+
+
 QUERIES: dict[str, Query] = {
     # cleaning
     "reviews_ingest": reviews_ingest,
@@ -244,6 +312,13 @@ QUERIES: dict[str, Query] = {
     "processed_events_upsert": processed_events_upsert,
     "popular_by_events": _on(adapters.clickstream, events.popular_by_events, AS_OF),
     "user_event_features": _on(adapters.clickstream, events.user_event_features),
+    "trailing_event_counts": trailing_event_counts,
+    # tables kept up to date
+    "processed_events_table": processed_events_table,
+    "popular_incremental": popular_incremental,
+    "events_numbered": events_numbered,
+    "reviews_from_csv": reviews_from_csv,
+    "recommend_refreshed": recommend_refreshed,
     # content
     "product_profiles": _on(adapters.text_reviews, content.product_profiles, FIXTURE_SECTION),
     "tfidf_vocab": tfidf_vocab,

@@ -42,14 +42,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for a table of this application; it goes when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` computed once and read back from a Parquet table in the shared folder; it goes when the driver ends.
 
     For what several plans read: columns that a plan does not use are not read, and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = own_folder(spark, "stored")
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
