@@ -86,20 +86,19 @@ def fillings(counts: np.ndarray, room: int, most: int, spare: int) -> list[Patte
     return out or [()]
 
 
-def plan(histogram: dict[int, int], room: int, nodes: int = 2_000, widths: tuple[int, ...] = (1, 3, 12, 50)) -> list[tuple[Pattern, int]]:
+def plan(histogram: dict[int, int], room: int, nodes: int = 1_500, widths: tuple[int, ...] = (1, 3, 12, 50)) -> list[tuple[Pattern, int]]:
     """(pattern, times) that use up the histogram in as few sequences as the search finds.
 
-    Searches follow each other, each with more fillings per node than the one before, until the lower bound is met; the last one
-    has no limit but its nodes. Each starts from the best packing so far and ends after `nodes` completions, the last after five times as
-    many. The first searches look deep with few fillings, the last ones wide.
+    Searches follow each other, each with more fillings per node (`widths`) than the one before, until the lower bound is met. Each
+    starts from the best packing so far and ends after `nodes` completions; what stands then is not proved to be the best. A search holds one
+    histogram and one list of fillings per level.
     """
     histogram = {k: v for k, v in histogram.items() if v}
     bound = lower_bound(histogram, room)
     best = best_fit(histogram, room)
-    for branches, budget in [*((w, nodes) for w in widths), (1 << 30, 5 * nodes)]:
-        if sum(n for _, n in best) == bound:
-            break
-        best = _search(histogram, room, best, bound, budget, branches)
+    for width in widths:
+        if sum(n for _, n in best) > bound:
+            best = _search(histogram, room, best, bound, nodes, width)
     return best
 
 
@@ -131,36 +130,42 @@ def _search(histogram: dict[int, int], room: int, best: list[tuple[Pattern, int]
     counts = np.zeros(room + 1, np.int64)
     for k, v in histogram.items():
         counts[k] = v
-    # A node: the histogram left, the patterns up to here (linked), sequences used, waste so far.
-    stack: list[tuple] = [(counts, None, 0, 0)]
+
+    def opened(counts: np.ndarray, made: tuple | None, used: int, waste: int) -> tuple:
+        """A node: the histogram left, the patterns up to here (linked), sequences used, waste so far, fillings still to try, the best last."""
+        longest = int(np.flatnonzero(counts)[-1])
+        rest = counts.copy()
+        rest[longest] -= 1
+        spare = max((fewest - 1) * room - total - waste, 0)
+        return counts, made, used, waste, [(longest, *f) for f in reversed(fillings(rest, room - longest, branches, spare))]
+
+    stack = [opened(counts, None, 0, 0)] if total else []
     while stack and fewest > bound and nodes:
-        counts, made, used, waste = stack.pop()
+        counts, made, used, waste, patterns = stack[-1]
         allowed = (fewest - 1) * room - total
-        if waste > allowed:
+        if not patterns or waste > allowed:
+            stack.pop()
             continue
-        left = np.flatnonzero(counts)
-        if not len(left):
-            fewest, best = used, []
-            while made:
-                best.append(made[:2])
-                made = made[2]
+        pattern = patterns.pop()
+        need = Counter(pattern)
+        times = min(int(counts[k]) // n for k, n in need.items())
+        lost = room - sum(pattern)
+        if lost:
+            times = max(1, min(times, max(allowed - waste, 0) // lost))
+        if waste + lost * times > allowed:
             continue
-        nodes -= 1
-        longest = int(left[-1])
-        rest = counts.copy()
-        rest[longest] -= 1
-        spare = max(allowed - waste, 0)
-        for filling in reversed(fillings(rest, room - longest, branches, spare)):
-            pattern = (longest, *filling)
-            need = Counter(pattern)
-            times = min(int(counts[k]) // n for k, n in need.items())
-            lost = room - sum(pattern)
-            if lost:
-                times = max(1, min(times, spare // lost))
-            after = counts.copy()
-            for k, n in need.items():
-                after[k] -= n * times
-            stack.append((after, (pattern, times, made), used + times, waste + lost * times))
+        after = counts.copy()
+        for k, n in need.items():
+            after[k] -= n * times
+        done = (pattern, times, made)
+        if after.any():
+            nodes -= 1
+            stack.append(opened(after, done, used + times, waste + lost * times))
+        else:
+            fewest, best = used + times, []
+            while done:
+                best.append(done[:2])
+                done = done[2]
     return best
 
 
