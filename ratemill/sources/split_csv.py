@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratemill.session import stored
 from ratemill.sources.readers import NA_VALUES, _cast, nullify
 
 #: What a row of `_records` is: a record, the end (or middle) of one that began in an earlier split, the start of one that ends in a later split.
@@ -55,16 +56,40 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made([row("\n".join(held), HEAD if kind == HEAD else TAIL, first)])
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, kind, first, text): the records of all files, those across splits in pieces."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, odd): the lines of all files, `odd` where a line has an odd number of quotes."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = lines.withColumn("odd", (quotes % 2).cast("int"))
+    return lines.withColumn("odd", (quotes % 2).cast("int"))
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """(file, block, inside, ends_inside, line): a row per split, whether it starts and ends inside a quoted field, and its first line."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy("file", "block").agg(F.sum("odd").alias("quotes"))  # a row per split
-    splits = splits.select("file", "block", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int").alias("inside"))
+    counted = lines.withColumn("place", F.monotonically_increasing_id()).groupBy("file", "block").agg(F.sum("odd").alias("quotes"), F.min_by("value", "place").alias("line"))
+    inside = (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int")
+    return counted.withColumn("inside", inside).withColumn("ends_inside", (F.col("inside") + F.col("quotes")) % 2).drop("quotes")
+
+
+def _of_splits(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """(file, block, kind, first, text): the records of the given splits, those across splits in pieces."""
     # A broadcast join leaves the lines where they are and in order.
-    return lines.join(F.broadcast(splits), ["file", "block"]).mapInArrow(_assembled, "file string, block long, kind int, first boolean, text string")
+    placed = lines.join(F.broadcast(splits.select("file", "block", "inside")), ["file", "block"])
+    return placed.mapInArrow(_assembled, "file string, block long, kind int, first boolean, text string")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all files, those across splits in pieces."""
+    lines = _lines(spark, path)
+    return _of_splits(lines, _splits(lines))
+
+
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """(text, row): the records with their fields as text. Filters on fields stay behind the explode, so that a record is parsed once."""
+    fields = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    row = F.from_csv("text", fields.simpleString()[len("struct<") : -1].replace(":", " "), options)
+    return records.select("text", F.explode(F.array(row)).alias("row"))
 
 
 def read_csv_in_splits(spark: SparkSession, path: str, schema: T.StructType, na_values: tuple[str, ...] = NA_VALUES) -> DataFrame:
@@ -74,20 +99,30 @@ def read_csv_in_splits(spark: SparkSession, path: str, schema: T.StructType, na_
     text; the files are read twice, once for their quotes. A file whose header is not that of `schema` is an error. Lines without
     anything are passed over, as other readers do.
     """
-    records = _records(spark, path)
+    lines = _lines(spark, path)
+    splits = stored(_splits(lines))
+    wanted = F.array(*[F.lit(f.name) for f in schema])
+
+    def check(heads: DataFrame) -> None:
+        header = F.array(*[F.col("row")[f.name] for f in schema])
+        wrong = _parsed(heads, schema).where(~header.eqNullSafe(wanted)).select("text").take(1)
+        if wrong:
+            raise ValueError(f"the header {wrong[0]['text']!r} does not name the columns {', '.join(f.name for f in schema)}")
+
+    # Only where a header's first line ends inside quotes, all records are gone through for the headers.
+    line = F.regexp_replace("line", r"\r\z", "")
+    heads = splits.where("block = 0").select(line.alias("text"), ((F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))) % 2).alias("odd"))
+    check(heads.where("odd = 0 and text <> ''"))
+
+    # Pieces lie only in splits that start or end inside a record.
+    broken = splits.where("inside = 1 or ends_inside = 1")
     order = Window.partitionBy("file").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = records.where(F.col("kind") != WHOLE).withColumn("number", F.sum((F.col("kind") == TAIL).cast("int")).over(order))
+    pieces = _of_splits(lines, broken).where(F.col("kind") != WHOLE).withColumn("number", F.sum((F.col("kind") == TAIL).cast("int")).over(order))
     in_order = F.sort_array(F.collect_list(F.struct("block", "kind", "text")))
     stitched = pieces.groupBy("file", "number").agg(F.bool_or("first").alias("first"), F.array_join(F.transform(in_order, lambda p: p.text), "\n").alias("text"))
-    whole = records.where(F.col("kind") == WHOLE).select("first", "text").unionByName(stitched.select("first", "text"))
+    whole = _of_splits(lines, splits).where(F.col("kind") == WHOLE).select("first", "text").unionByName(stitched.select("first", "text"))
     whole = whole.withColumn("text", F.regexp_replace("text", r"\r\z", "")).where("text <> ''")
-
-    fields = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
-    parsed = whole.withColumn("row", F.from_csv("text", fields.simpleString()[len("struct<") : -1].replace(":", " "), options))
-    wanted = F.array(*[F.lit(f.name) for f in schema])
-    header = F.array(*[F.col("row")[f.name] for f in schema])
-    wrong = parsed.where(F.col("first")).where(~header.eqNullSafe(wanted)).select("text").take(1)
-    if wrong:
-        raise ValueError(f"the header {wrong[0]['text']!r} does not name the columns {', '.join(f.name for f in schema)}")
-    return parsed.where(~F.col("first")).select(*[_cast(nullify(F.col("row")[f.name], na_values), f.dataType).alias(f.name) for f in schema])
+    if not heads.where("odd = 1").isEmpty():
+        check(whole.where(F.col("first")))
+    rows = _parsed(whole.where(~F.col("first")), schema)
+    return rows.select(*[_cast(nullify(F.col("row")[f.name], na_values), f.dataType).alias(f.name) for f in schema])

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import types as T
 
-from ratemill.sources import readers
+from ratemill.sources import readers, split_csv
 from ratemill.sources.split_csv import _records, read_csv_in_splits
 
 SCHEMA = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("rating", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("note", T.StringType())])
@@ -69,3 +69,24 @@ def test_files_without_rows(spark, tmp_path):
     path = tmp_path / "one.csv"
     write(path, [])
     assert read_csv_in_splits(spark, str(path), SCHEMA).count() == 0
+
+
+def test_no_record_is_assembled_before_it_is_asked_for(spark, tmp_path, monkeypatch):
+    """Headers are checked on first lines, and splits without pieces of records are left out where pieces are looked for."""
+    for k in range(4):
+        write(tmp_path / f"{k}.csv", [(f"u{k}", "5", "plain", "x"), (f"v{k}", "4", "a,b", 'say "no"'), (f"w{k}", "", " NA ", "")])
+    asked = []
+    kept = split_csv._of_splits
+    monkeypatch.setattr(split_csv, "_of_splits", lambda lines, splits: asked.append(splits.count()) or kept(lines, splits))
+    got = read_csv_in_splits(spark, str(tmp_path), SCHEMA)
+    assert sorted(asked) == [0, 4]
+    assert rows(got) == rows(readers.read_csv(spark, str(tmp_path), SCHEMA)) and got.count() == 12
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    """However many fields are filtered on afterwards: once for whole records, once for those put together."""
+    write(tmp_path / "one.csv", awkward(1))
+    got = read_csv_in_splits(spark, str(tmp_path), SCHEMA).na.drop(subset=["user_id", "rating", "text"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_csv(") <= 2
+    assert rows(got) == rows(readers.read_csv(spark, str(tmp_path), SCHEMA).na.drop(subset=["user_id", "rating", "text"]))
