@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratemill.operators import cleaning, content, events, experiments, factors, features, history, hybrid, popularity, profile, refresh
-from ratemill.session import own_folder, stored
+from ratemill.session import own_folder, stored, stored_by
 from ratemill.sources import adapters, deltas, sinks
 from ratemill.sources.adapters import AS_OF
 from ratemill.sources.split_csv import read_csv_in_splits
@@ -54,7 +54,8 @@ def reviews_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reviews_enriched(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.enrich(stored(_dense_clean(spark, folder))).drop("ord")
+    first = stored_by(cleaning.PAIR, _dense_first(spark, folder))  # the only shuffle of the texts; what follows moves ids and numbers
+    return cleaning.enrich(cleaning.clean(first)).drop("ord")
 
 
 def _clean_with_length(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,13 +43,13 @@ def spread_join(
         values.filter(F.col(weight) >= min_weight)
         .orderBy(F.desc(weight), F.asc(key))
         .limit(MAX_HOT_KEYS)
-        .select(key, F.struct(*columns).alias("_heavy"))
+        .select(key, F.struct(*columns, weight).alias("_heavy"))
     )
     salt = F.xxhash64(*spread_by).bitwiseOR(F.lit(1))  # never 0, which stands for rows of lighter keys
     left = rows.join(F.broadcast(heavy), key, "left").withColumn(
         "_salt", F.when(F.col("_heavy").isNotNull(), salt).otherwise(F.lit(0).cast("long"))
     )
-    right = values.select(key, F.struct(*columns).alias("_light"), F.explode(F.array(F.lit(0).cast("long"))).alias("_salt"))
+    right = values.select(key, F.struct(*columns, weight).alias("_light"), F.explode(F.array(F.lit(0).cast("long"))).alias("_salt"))
     joined = left.join(right, [key, "_salt"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
     if how == "inner":
         joined = joined.filter(F.col("_found").isNotNull())

@@ -54,6 +54,18 @@ def own_folder(spark: SparkSession, name: str) -> str:
 ROW_GROUP = 8 << 20
 
 
+def stored_by(keys: list[str], df: DataFrame) -> DataFrame:
+    """As stored(), in buckets by `keys`: joins, windows and groupings by them shuffle nothing of this table.
+
+    There are as many buckets as shuffle partitions. No key may be heavy. The table's name is left in the session's catalog.
+    """
+    spark = df.sparkSession
+    name, buckets = f"ratemill_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", own_folder(spark, "buckets"))
+    writer.bucketBy(buckets, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` computed once and read back from a Parquet table in the shared folder; it goes when the driver ends.
 

@@ -1,8 +1,11 @@
+import re
+
 from conftest import rows
 from pyspark.sql import functions as F
 
 from ratemill import schemas
 from ratemill.operators import cleaning, features, history, popularity, profile
+from ratemill.session import stored_by
 from ratemill.sources import readers, sinks
 
 COLUMNS = "user_id string, product_id string, rating int, summary string, text string, ord int"
@@ -129,3 +132,21 @@ def test_history(spark):
     assert history.reviews_of_users(data, users).count() == 1
     assert history.reviews_of(data, "u").count() == 30
     assert history.liked_seed(data).count() == 5
+
+
+def test_enrichment_of_buckets_shuffles_no_texts(spark):
+    """The first reviews lie in buckets by pair, so cleaning and enrichment move ids and numbers only."""
+    data = [(f"u{k % 7}", f"p{k % 11}", k % 5 + 1, "s" if k % 13 else None, f"text {k}", k) for k in range(200)]
+    data += [(None, "p1", 3, "s", "t", 1), ("u1", None, 3, "s", "t", 1)]
+    raw = reviews(spark, data)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        first = stored_by(cleaning.PAIR, cleaning.keep_first(cleaning.with_summary(raw)))
+        got = cleaning.enrich(cleaning.clean(first)).drop("ord")
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+        assert moved and not any("text#" in columns or "summary#" in columns for columns in moved)
+        assert rows(got) == rows(cleaning.enrich(cleaning.clean(raw)).drop("ord"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -90,3 +90,13 @@ def test_dense_ids(spark):
     assert sorted(r["no"] for r in numbered.collect()) == list(range(500))
     again = dense_ids(keys.repartition(13), "user", "no", buckets=16)
     assert rows(numbered) == rows(again)
+
+
+def test_spread_join_computes_values_once(spark, skewed):
+    values = skewed.groupBy("key").agg(F.avg("ord").alias("mean"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = skew.spread_join(skewed, values, "key", "n", ["ord"], "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert "ReusedExchange" in plan
