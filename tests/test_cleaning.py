@@ -142,7 +142,7 @@ def test_enrichment_of_buckets_shuffles_no_texts(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        first = stored_by(cleaning.PAIR, cleaning.keep_first(cleaning.with_summary(raw)))
+        first = stored_by(cleaning.PAIR, cleaning.keep_first(cleaning.with_summary(raw)), len(data))
         got = cleaning.enrich(cleaning.clean(first)).drop("ord")
         plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
         moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
